@@ -23,7 +23,7 @@ BROADCAST_GROUPS = 100_000
 #: For five dimensions and the nearest three quarters: CORE / P(chi2_7 <= chi2_5 quantile of CORE).
 CONSISTENCY = 1.41
 #: Least standard deviations of the five statistics, which also keep covariances of constant ones regular.
-FLOORS = (0.08, 0.4, 0.5, 0.4, 0.6)
+FLOORS = (0.08, 0.25, 1.0, 0.4, 1.0)
 D = len(FLOORS)
 
 
