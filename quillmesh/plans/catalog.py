@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+
+MODULES = ("graph_queries",)
+
 
 def modules() -> list:
-    return []
+    return [import_module(f"quillmesh.plans.{m}") for m in MODULES]
 
 
 def queries() -> dict:
