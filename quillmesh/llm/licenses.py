@@ -12,8 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import alnum_words, join_rows, materialize, rows_of
-from quillmesh.llm.decontaminate import ALNUM_ANY_CASE
+from quillmesh.llm.common import gram_at, join_rows, materialize, placed_words
 
 GRAM = 3
 SLACK = 3
@@ -45,29 +44,31 @@ def template_words() -> list[tuple[int, str, list[str]]]:
 def template_grams(spark: SparkSession, k: int = GRAM) -> DataFrame:
     """(template, label, t_words, t_pos, gram): a few hundred rows, fixed with the templates."""
     rows = [(i, label, len(w), p, w[p : p + k]) for i, label, w in template_words() for p in range(len(w) - k + 1)]
-    return spark.createDataFrame(rows, "template int, label string, t_words int, t_pos int, words array<string>").select("template", "label", "t_words", "t_pos", F.xxhash64(*[F.get("words", F.lit(i)) for i in range(k)]).alias("gram"))
+    return spark.createDataFrame(rows, "template int, label string, t_words int, t_pos int, words array<string>").select("template", "label", "t_words", "t_pos", gram_at(F.transform("words", lambda w: F.xxhash64(w)), F.lit(0), k).alias("gram"))
 
 
 def matches(docs: DataFrame, k: int = GRAM) -> DataFrame:
-    """(doc_id, __k, pos, base, template, label, t_words, t_pos): places of phrases and of template k-grams."""
-    rows = rows_of(docs, "text").select("doc_id", "__k", alnum_words(F.col("text")).alias("all"))
-    placed = rows.select("doc_id", "__k", "all", F.posexplode("all").alias("pos", "word"))
+    """(doc_id, __k, n_words, pos, base, hits): places of phrases and of template k-grams; hits are (template, label, t_words, t_pos).
+
+    One pass over the texts; the first place of each document, or a null one where it has no words, always has one row.
+    """
+    placed = placed_words(docs)
     base = F.lit(None).cast("string")
     for phrase, label in PHRASES.items():
-        first, *rest = phrase.split()
-        same = F.col("word") == first
-        for i, w in enumerate(rest):
-            same &= F.get("all", F.col("pos") + i + 1) == w
+        same = F.col("x") == F.xxhash64(F.lit(phrase.split()[0]))
+        for i, w in enumerate(phrase.split()):
+            same &= F.get("all", F.col("pos") + i) == w
         base = F.when(same, label).otherwise(base)
-    gram = F.when(F.col("pos") + k <= F.size("all"), F.xxhash64("word", *[F.get("all", F.col("pos") + i) for i in range(1, k)]))
-    keyed = placed.select("doc_id", "__k", "pos", base.alias("base"), gram.alias("gram"))
-    grams = F.broadcast(template_grams(docs.sparkSession, k))  # a fixed few hundred rows
-    return keyed.join(grams, "gram", "left").filter("base is not null or template is not null").drop("gram")
+    gram = F.when(F.col("pos") + k <= F.size("all"), gram_at("h", F.col("pos"), k))
+    keyed = placed.select("doc_id", "__k", F.size("all").cast("long").alias("n_words"), "pos", base.alias("base"), gram.alias("gram"))
+    grams = template_grams(docs.sparkSession, k).groupBy("gram").agg(F.collect_list(F.struct("template", "label", "t_words", "t_pos")).alias("hits"))
+    grams = F.broadcast(grams)  # a fixed few hundred rows
+    return keyed.join(grams, "gram", "left").filter("base is not null or hits is not null or coalesce(pos, 0) = 0").drop("gram")
 
 
 def spans(found: DataFrame, k: int = GRAM, slack: int = SLACK, cover: float = COVER) -> DataFrame:
     """(doc_id, __k, label, covered): verified spans, covered being the share of the template's words."""
-    votes = found.filter("template is not null").withColumn("diag", F.col("pos") - F.col("t_pos"))
+    votes = found.filter("hits is not null").select("doc_id", "__k", "pos", F.inline("hits")).withColumn("diag", F.col("pos") - F.col("t_pos"))
     lanes = votes.groupBy("doc_id", "__k", "template", "label", "t_words", "diag").agg(F.collect_set("t_pos").alias("at"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     order = Window.partitionBy("doc_id", "__k", "template").orderBy("diag")
     fresh = F.coalesce(F.col("diag") - F.lag("diag").over(order) > slack, F.lit(True)).cast("int")
@@ -89,8 +90,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     base = found.filter("base is not null").select("doc_id", "__k", "pos", "base").distinct()
     base = base.groupBy("doc_id", "__k").agg(F.count(F.lit(1)).alias("n_base"), F.min("pos").cast("long").alias("first_word"), F.max("pos").cast("long").alias("last_word"), F.collect_set("base").alias("bases"))
     span = spans(found).groupBy("doc_id", "__k").agg(F.collect_set("label").alias("more"), F.max("covered").alias("covered"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(ALNUM_ANY_CASE))).cast("long")
-    rows = join_rows(join_rows(rows_of(docs, "text").select("doc_id", "__k", count.alias("n_words")), base, "left"), span, "left")
+    rows = found.filter("coalesce(pos, 0) = 0").select("doc_id", "__k", "n_words")
+    rows = join_rows(join_rows(rows, base, "left"), span, "left")
     none = F.array().cast("array<string>")
     bases, more = F.coalesce("bases", none), F.coalesce("more", none)
     return rows.select(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import NONSPACE_WORD, fits, materialize, rows_of
+from quillmesh.llm.common import NONSPACE_WORD, fits, materialize, nonspace_words, rows_of
 
 RUN = 8
 STEPS = 3
@@ -52,7 +52,7 @@ def repeated_words(words: Column, run: int = RUN) -> Column:
 def base_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, __k, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals)."""
     rows = rows_of(docs, "text", "lang", "source").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(NONSPACE_WORD), F.lit(0)))
+    rows = rows.withColumn("words", nonspace_words(F.col("text")))
     rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(NONSPACE_WORD)))
     return rows.select(
         "doc_id",
