@@ -1,7 +1,7 @@
 """Line dedup: documents that share rare lines are aligned by patience diff, and common blocks leave the later one.
 
-A line counts as rare if it has `line_words` words or more and stands in at most `rare_share` of the documents. Each rare
-line leads from every later document to the earliest that has it, so pairs grow with the repeated lines, not with the
+A line counts as rare if it has `line_words` words or more and stands in at most `rare_share` of the documents (or in 100
+of a small table). Each rare line leads from every later document to the earliest that has it, so pairs grow with the repeated lines, not with the
 square of a group. Pairs are aligned by the hashes of their stripped lines. The earliest document with a line is never
 after the one that loses it, so one copy of every line stays.
 """
@@ -103,7 +103,7 @@ def shared_blocks(docs: DataFrame, line_words: int = 5, block_words: int = 10, r
     each = lined.select(rank.alias("doc"), F.explode(long_lines).alias("line"))
     rare = each.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter(F.col("n") > 1)
     if rare_share < 1:
-        rare = rare.filter(F.col("n") <= F.greatest(F.lit(2.0), F.lit(rare_share * lined.count())))
+        rare = rare.filter(F.col("n") <= F.greatest(F.lit(100.0), F.lit(rare_share * lined.count())))
     pairs = each.join(rare.select("line", "first"), "line").filter("doc <> first").select("doc.doc_id", "doc.__k", F.col("first.doc_id").alias("first_id"), F.col("first.__k").alias("first_k")).distinct()
     owners = lined.select(F.col("doc_id").alias("o_id"), F.col("__k").alias("o_k"), F.col("lines").alias("earlier"))
     both = join_rows(pairs, lined, "inner").join(owners, (F.col("first_k") == F.col("o_k")) & F.col("first_id").eqNullSafe(F.col("o_id")))
