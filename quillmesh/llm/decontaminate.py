@@ -13,15 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import alnum_words, join_rows, materialize, rows_of, small_side
+from quillmesh.llm.common import alnum_words, gram_at, join_rows, materialize, placed_words, small_side
 
 BROADCAST_ROWS = 200_000
-ALNUM_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def _gram(words, at, size: int):
-    """Hash of `size` words of the array from place `at`, counted from 0; their number goes in as well."""
-    return F.xxhash64(F.lit(size), *[F.get(words, at + i) for i in range(size)])
 
 
 def item_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
@@ -32,35 +26,49 @@ def item_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("all", s + 1, F.lit(window)))).alias("words")).withColumn("size", F.size("words"))
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:
-    """(doc_id, __k, start, words, size): where the words of each distinct window stand in the documents."""
+def matched_grams(docs: DataFrame, grams: DataFrame, sizes: list[int], reach: int) -> DataFrame:
+    """(doc_id, __k, n_words, pos, gram, from, around) of every shingle of grams(gram) in the documents, in one pass.
+
+    Each document also has a row with a null gram, which carries its number of words. `around` are the words up to `reach`
+    before and after the place.
+    """
+    wanted = small_side(grams.select("gram").distinct().withColumn("known", F.lit(True)), BROADCAST_ROWS)
+    placed = placed_words(docs)
+    found = None
+    for n, k in enumerate(sizes):
+        inside = F.col("pos") + k <= F.size("all")
+        keyed = placed.withColumn("gram", F.when(inside, gram_at("h", F.col("pos"), k))).join(wanted, "gram", "left")
+        first = F.greatest(F.col("pos") - reach, F.lit(0))
+        hit = keyed.filter(F.col("known")).select("doc_id", "__k", F.size("all").alias("n_words"), "pos", "gram", first.alias("from"), F.slice("all", first + 1, F.lit(2 * reach + 1)).alias("around"))
+        if n == 0:  # the row of each document comes with the first size: one scan serves both
+            head = F.coalesce(F.col("pos") == 0, F.lit(True))
+            known = F.coalesce("known", F.lit(False))
+            rows = F.array_compact(F.array(F.when(known, F.struct(F.col("gram"), first.alias("from"), F.slice("all", first + 1, F.lit(2 * reach + 1)).alias("around"))), F.when(head, F.struct(F.lit(None).cast("long").alias("gram"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("array<string>").alias("around")))))
+            hit = keyed.filter(known | head).select("doc_id", "__k", F.size("all").alias("n_words"), "pos", F.explode(rows).alias("r")).select("doc_id", "__k", "n_words", "pos", "r.*")
+        found = hit if found is None else found.union(hit)
+    return found
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Where the words of each distinct window stand, (doc_id, __k, start, words, size), and the rows of docs, (doc_id, __k, n_words)."""
     windows = materialize(item_windows(benchmark, window).select("words", "size").distinct(), "windows")
-    sizes = [r[0] for r in windows.select(F.least("size", F.lit(shingle)).alias("k")).distinct().collect()]  # at most `shingle` values
-    if not sizes:
-        sizes = [shingle]
+    sizes = [r[0] for r in windows.select(F.least("size", F.lit(shingle)).alias("k")).distinct().orderBy("k").collect()] or [shingle]  # at most `shingle` values
     grams = None
     for k in sizes:
-        of_k = windows.filter(F.least("size", F.lit(shingle)) == k)
-        each = of_k.select("words", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - k), lambda o: F.struct(o.alias("offset"), _gram(F.col("words"), o, k).alias("gram")))).alias("g")).select("words", "size", "g.*")
+        of_k = windows.filter(F.least("size", F.lit(shingle)) == k).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+        each = of_k.select("words", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - k), lambda o: F.struct(o.alias("offset"), gram_at("h", o, k).alias("gram")))).alias("g")).select("words", "size", "g.*")
         grams = each if grams is None else grams.union(each)
     grams = materialize(grams, "grams")
-    wanted = small_side(grams.select("gram").distinct(), BROADCAST_ROWS)
-    reach = window - 1
-    text = rows_of(docs, "text").select("doc_id", "__k", alnum_words(F.col("text")).alias("all"))
-    placed = text.select("doc_id", "__k", "all", F.posexplode("all").alias("pos", "word"))
-    found = None
-    for k in sizes:
-        hit = placed.withColumn("gram", _gram(F.col("all"), F.col("pos"), k)).filter(F.col("pos") + k <= F.size("all")).join(wanted, "gram")
-        hit = hit.select("doc_id", "__k", "gram", "pos", F.size("all").alias("n_words"), F.greatest(F.col("pos") - reach, F.lit(0)).alias("from"), F.slice("all", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("around"))
-        found = hit if found is None else found.union(hit)
-    found = materialize(found, "matches")
+    matched = materialize(matched_grams(docs, grams, sizes, window - 1), "matches")
+    found = matched.filter("gram is not null")
     counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "gram")
     prefix = grams.join(counts, "gram", "left").groupBy("words", "size").agg(F.min(rarity).alias("r")).filter("r.n > 0").select("words", "size", "r.offset", "r.gram")
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
     same = F.slice("around", start - F.col("from") + 1, F.col("size")) == F.col("words")
-    return found.join(small_side(prefix, BROADCAST_ROWS), "gram").filter(fits & same).select("doc_id", "__k", start.alias("start"), "words", "size")
+    at = found.join(small_side(prefix, BROADCAST_ROWS), "gram").filter(fits & same).select("doc_id", "__k", start.alias("start"), "words", "size")
+    return at, matched.filter("gram is null").select("doc_id", "__k", F.col("n_words").cast("long").alias("n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, share: int = 20) -> DataFrame:
@@ -71,7 +79,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
     texts have no words and no hits; items without words have no window; items without an id hit words but are not
     counted among the items; ids that repeat count once. Rows repeated exactly get equal results. Either table may be empty.
     """
-    at = materialize(occurrences(docs, benchmark, window, shingle), "occurrences")
+    at, rows = occurrences(docs, benchmark, window, shingle)
+    at = materialize(at, "occurrences")
     by_start = Window.partitionBy("doc_id", "__k").orderBy("start", "size")
     end = F.col("start") + F.col("size")
     reached = F.coalesce(F.max(end).over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -79,8 +88,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
     hits = spans.withColumn("new", F.greatest(F.lit(0), end - F.greatest("start", reached))).groupBy("doc_id", "__k").agg(F.sum("new").alias("n_hit"))
     named = item_windows(benchmark, window).select("item_id", "words").filter("item_id is not null").distinct()
     items = at.select("doc_id", "__k", "words").distinct().join(small_side(materialize(named, "items"), BROADCAST_ROWS), "words").groupBy("doc_id", "__k").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(ALNUM_ANY_CASE))).cast("long")
-    rows = rows_of(docs, "text").select("doc_id", "__k", count.alias("n_words"))
     joined = join_rows(join_rows(rows, hits, "left"), items, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))

@@ -7,19 +7,15 @@ are corrected for the filter's false positives, and the largest decides.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import rows_of
+from quillmesh.llm.common import materialize, mix64, rows_of
 
-LETTER = re.compile(r"[^\W\d_]")
-WORD = re.compile(r"[^\W\d_]+")
 GRAM = 4
 GRAMS_A_LANGUAGE = 8_000
 TRAIN_DOCS_A_LANGUAGE = 4_000
@@ -27,32 +23,45 @@ CELLS = 1 << 20
 HASHES = 3
 MOST_LANGUAGES = 64
 UNDETERMINED = "und"
+BLANK = 32
 
 
-def grams_of(word: str, size: int = GRAM) -> list[str]:
-    """Character n-grams of a word between blanks; the whole of a short one."""
-    padded = f" {word} "
-    return [padded[i : i + size] for i in range(max(1, len(padded) - size + 1))]
+@cache
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _cells(gram: str) -> tuple[int, ...]:
-    h = xxhash.xxh64_intdigest(gram.encode())
-    step = (h >> 32) | 1
-    return tuple((h + i * step) % CELLS for i in range(HASHES))
+def grams_of(text: str | None) -> np.ndarray:
+    """Hashes of all character n-grams of a text's letters, lower-cased, other runs being one blank; empty without a letter."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = letter_table()[points]
+    if not letter.any():
+        return np.zeros(0, np.uint64)
+    kept = np.where(letter, points, BLANK)
+    kept = kept[letter | np.append(True, letter[:-1])]
+    kept = np.concatenate([[BLANK], kept, [BLANK] * GRAM])[: max(GRAM, len(kept) + 2)].astype(np.uint64)
+    code = kept[: len(kept) - GRAM + 1]
+    for i in range(1, GRAM):
+        code = code * np.uint64(0x1F0A3D7B5C91) + kept[i : len(kept) - GRAM + 1 + i]
+    return mix64(code)
+
+
+def _cells(gram: np.ndarray, i: int) -> np.ndarray:
+    """The i-th cell of each n-gram: double hashing with both halves of its hash."""
+    return (gram + np.uint64(i) * (gram >> np.uint64(32) | np.uint64(1))) & np.uint64(CELLS - 1)
 
 
 def _gram_counts(batches):
-    """Word counts first, so that n-grams are taken once a distinct word of a batch."""
     for batch in batches:
-        words: dict[str, Counter] = {}
+        of: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
-        for lang, counter in words.items():
-            grams: Counter = Counter()
-            for word, n in counter.items():
-                for g in grams_of(word):
-                    grams[g] += n
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
+            of.setdefault(lang, []).append(grams_of(text))
+        for lang, parts in of.items():
+            gram, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
 def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS_A_LANGUAGE) -> DataFrame:
@@ -65,69 +74,43 @@ def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS_A_LANGUAGE) ->
 
 
 class BloomModel:
-    """Languages in order, one 64-bit cell mask a place, and each language's false positive rate."""
+    """Languages in order, the bits of all of them in each cell, and each one's false positive rate."""
 
-    def __init__(self, languages: list[str], grams: list[tuple[str, str]]):
+    def __init__(self, languages: list[str], grams: list[np.ndarray]):
         self.languages = languages
-        self.cells = np.zeros(CELLS, np.uint64)
-        for lang, gram in grams:
-            bit = np.uint64(1 << languages.index(lang))
-            for c in _cells(gram):
-                self.cells[c] |= bit
-        fill = np.array([(self.cells >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(languages))]) if languages else np.zeros(0)
-        self.false_rate = fill**HASHES
-        self.words: dict[str, tuple[np.ndarray, int]] = {}
-
-    def __getstate__(self):
-        return (self.languages, self.cells, self.false_rate)
-
-    def __setstate__(self, state):
-        self.languages, self.cells, self.false_rate = state
-        self.words = {}
-
-    def of_word(self, word: str) -> tuple[np.ndarray, int]:
-        """For each language, how many n-grams of the word its filter contains; and the number of n-grams."""
-        if (known := self.words.get(word)) is None:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            grams = grams_of(word)
-            hits = np.zeros(len(self.languages), np.int32)
-            for g in grams:
-                a, *rest = _cells(g)
-                mask = int(self.cells[a])
-                for c in rest:
-                    mask &= int(self.cells[c])
-                while mask:
-                    low = mask & -mask
-                    hits[low.bit_length() - 1] += 1
-                    mask ^= low
-            known = self.words[word] = (hits, len(grams))
-        return known
+        width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
+        self.cells = np.zeros(CELLS, f"<u{width // 8}")
+        fill = []
+        for i, of in enumerate(grams):
+            for h in range(HASHES):
+                self.cells[_cells(of, h)] |= self.cells.dtype.type(1 << i)
+            fill.append((self.cells >> self.cells.dtype.type(i) & self.cells.dtype.type(1)).mean())
+        self.false_rate = np.array(fill) ** HASHES
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of a text and the corrected share of its n-grams that the language has."""
-        if not text or not self.languages or not LETTER.search(text):
-            return UNDETERMINED, 0.0
-        counts, total = np.zeros(len(self.languages)), 0
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            hits, grams = self.of_word(word)
-            counts += n * hits
-            total += n * grams
-        if not total:
+        gram = grams_of(text)
+        if not len(gram) or not self.languages:
             return UNDETERMINED, 0.0
-        share = (counts / total - self.false_rate) / (1 - self.false_rate)
+        mask = self.cells[_cells(gram, 0)]
+        for h in range(1, HASHES):
+            mask &= self.cells[_cells(gram, h)]
+        bits = np.unpackbits(mask.view(np.uint8).reshape(len(mask), -1), axis=1, bitorder="little")
+        counts = bits.sum(axis=0, dtype=np.int64)[: len(self.languages)]
+        share = (counts / len(gram) - self.false_rate) / (1 - self.false_rate)
         best = int(np.argmax(share))
         return self.languages[best], float(np.clip(share[best], 0, 1))
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS_A_LANGUAGE, grams_each: int = GRAMS_A_LANGUAGE) -> BloomModel:
     """A model from the n-grams most frequent in each language; at most 64 languages of grams_each n-grams come to the driver."""
-    counts = training_rows(docs, per_language).mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = training_rows(docs, per_language).mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "grams")
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    grams: list[tuple[str, str]] = []
+    grams = []
     for lang in languages:
         top = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(grams_each)
-        grams += [(lang, r["gram"]) for r in top.select("gram").collect()]
+        grams.append(np.array([r["gram"] for r in top.select("gram").collect()], np.int64).view(np.uint64))
     return BloomModel(languages, grams)
 
 
@@ -149,7 +132,7 @@ def predict(docs: DataFrame, model: BloomModel | None = None) -> DataFrame:
     TRAIN_DOCS_A_LANGUAGE rows a language; other columns are ignored. Rows repeated exactly get equal results.
     """
     model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS * 8 bytes whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS * 8 bytes at most, whatever the corpus
     return rows_of(docs, "text").mapInArrow(_predicted(shared), "doc_id long, __k long, lang_pred string, score double")
 
 
