@@ -30,7 +30,9 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton vous votre
 LOOKALIKES = str.maketrans("013457@$!|", "oleastasil")
 
 WORD = re.compile(r"[^\W_]+")
-MASKED = re.compile(r"[^\W\d_]+[*#@$!|0-9]+[^\W\d_]+|(?:\b[^\W\d_][.\-*_ ]){3,}[^\W\d_]\b")
+MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[*#@$!|0-9]++[^\W\d_]++|(?:\b[^\W\d_][.\-*_ ]){3,}[^\W\d_]\b")
+#: What every match of MASKED contains: a sign after a letter, or two single letters between separators. Quicker to look for.
+MAY_MASK = (re.compile(r"[*#@$!|0-9](?<=[^\W\d_].)"), re.compile(r"[.\-*_ ][^\W\d_][.\-*_ ][^\W\d_][.\-*_ ]"))
 NAMES = 8
 
 
@@ -56,32 +58,41 @@ def lexicon(counts: DataFrame, totals: dict[int, tuple[int, int]], folds: tuple[
     return frozenset(r["word"] for r in top.select("word").collect())
 
 
-def dense(text: str | None, learned: frozenset, memo: WordHashes) -> list[float]:
+class WordFlags(dict):
+    """word -> its marks: 1 insult, 2 learned word, 4 learned beginning, or 8 second person alone; remembered for up to `most` words."""
+
+    def __init__(self, learned: frozenset, most: int = 400_000):
+        super().__init__()
+        self.learned, self.most = learned, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        flags = 8 if word in SECOND_PERSON else (word in INSULTS) + 2 * (word in self.learned) + 4 * ("^" + word[:STEM] in self.learned)
+        self[word] = flags
+        return flags
+
+
+def dense(text: str | None, flags: WordFlags, memo: WordHashes) -> list[float]:
     """Toxicity features of a whole text, then its shape features; zero for a text without words."""
     raw = text or ""
     words = WORD.findall(raw.lower())
     n = max(1, len(words))
-    last_person, fixed, known, stems, near = -NEAR - 1, 0, 0, 0, 0
+    marks = np.fromiter(map(flags.__getitem__, words), np.uint8, len(words))
+    fixed, known, stems = (int(np.count_nonzero(marks & bit)) for bit in (1, 2, 4))
+    last_person, near = -NEAR - 1, 0
     wait: list[int] = []
-    for i, w in enumerate(words):
-        if w in SECOND_PERSON:
+    hits = np.flatnonzero(marks & 11)  # a beginning alone is not near anyone
+    for i, second in zip(hits.tolist(), (marks[hits] & 8).tolist(), strict=True):
+        if second:
             last_person = i
             near += sum(i - j <= NEAR for j in wait)
             wait = []
-            continue
-        bad = w in INSULTS
-        fixed += bad
-        if w in learned:
-            known += 1
-            bad = True
-        if "^" + w[:STEM] in learned:
-            stems += 1
-        if bad:
-            if i - last_person <= NEAR:
-                near += 1
-            else:
-                wait.append(i)
-    masked = MASKED.findall(raw)
+        elif i - last_person <= NEAR:
+            near += 1
+        else:
+            wait.append(i)
+    masked = MASKED.findall(raw) if any(p.search(raw) for p in MAY_MASK) else []
     hidden = sum(m.lower().translate(LOOKALIKES) in INSULTS for m in masked)
     scale = math.sqrt(n)
     return [fixed / scale, known / scale, stems / scale, near / scale, min(known, 20), min(stems, 20), len(masked) / n, float(hidden), *shape(raw.encode(), memo)]
@@ -169,13 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", mo
     lexicons = docs.sparkSession.sparkContext.broadcast([lexicon(counts, totals, (1,)), lexicon(counts, totals, (0,))])
 
     def fitted(batches):
-        memo = WordHashes()
+        memo, flags = WordHashes(), [WordFlags(words) for words in lexicons.value]
         for batch in batches:
-            x = [dense(t, lexicons.value[f], memo) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
+            x = [dense(t, flags[f], memo) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y"), batch.column("check")], ["x", "y", "check"])
 
     sample = rows.mapInArrow(fitted, "x array<double>, y int, check boolean").collect()
-    width = len(dense(None, frozenset(), WordHashes()))
+    width = len(dense(None, WordFlags(frozenset()), WordHashes()))
     x = np.array([r["x"] for r in sample], float).reshape(len(sample), width)
     model = BoostedTrees(x, np.array([r["y"] for r in sample], float), np.array([r["check"] for r in sample], bool))
     return model, lexicon(counts, totals, (0, 1))
@@ -194,9 +205,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def scored(batches):
         model, learned = shared.value
-        memo = WordHashes()
+        memo, flags = WordHashes(), WordFlags(learned)
         for batch in batches:
-            x = np.array([dense(t.as_py(), learned, memo) for t in batch.column("text")], float)
+            x = np.array([dense(t.as_py(), flags, memo) for t in batch.column("text")], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.predict(x) if len(x) else [], pa.float64())], ["doc_id", "score"])
 
     out = rows_of(docs, "text").select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
