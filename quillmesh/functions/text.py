@@ -97,25 +97,39 @@ def canonical_reference(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, r"\s+([)\]}])", "$1"))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once, where an expression needs it many times."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _title(rest: Column) -> Column:
+    end = F.least(*[F.when(F.instr(rest, e) > 1, F.instr(rest, e)) for e in TITLE_ENDS])
+    return let(end, lambda e: F.trim(F.when(e.isNotNull(), F.substring(rest, F.lit(1), e - 1)).otherwise(F.get(F.split(rest, r"\.\s+", 2), F.lit(0))), F.lit(" .")))
+
+
 def parse_title(rest: Column) -> Column:
     """ST10: up to the earliest known end, or else to the first full stop before a blank."""
-    places = [F.when(F.instr(rest, e) > 1, F.instr(rest, e)) for e in TITLE_ENDS]
-    end = F.least(*places)
-    return F.trim(F.when(end.isNotNull(), F.substring(rest, F.lit(1), end - 1)).otherwise(F.get(F.split(rest, r"\.\s+", 2), F.lit(0))), F.lit(" ."))
+    return let(rest, _title)
 
 
 def parse_reference(raw: Column, fallback: bool = False) -> Column:
     """ST9: struct of authors, year, title, arxiv_ids, dois, urls, confidence and warnings; the first year divides."""
-    raw = plain_text(raw)
-    year = F.regexp_extract(raw, YEAR, 1)
-    at = F.regexp_instr(raw, F.lit(YEAR))
-    authors = F.when(year == "", "").otherwise(F.trim(F.substring(raw, F.lit(1), at - 1), F.lit(" .,:;")))
-    rest = F.trim(F.substring(raw, at + F.length(year), F.length(raw)), F.lit(" .,:;"))
-    title = F.when(year == "", "").otherwise(parse_title(rest))
-    found = lambda pattern, group: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit(pattern), F.lit(group)), lambda x: F.rtrim(x, F.lit(".")))))
-    warnings = F.array_compact(F.array(F.when(year == "", "no_year"), F.when(authors == "", "no_authors"), F.when(title == "", "no_title")))
-    confidence = F.when((year == "") | (title == ""), "low").otherwise("medium" if fallback else "high")
-    return F.struct(authors.alias("authors"), year.alias("year"), title.alias("title"), F.array_sort(F.array_distinct(F.regexp_extract_all(raw, F.lit(ARXIV), F.lit(1)))).alias("arxiv_ids"), found(DOI, 0).alias("dois"), found(URL, 0).alias("urls"), confidence.alias("confidence"), warnings.alias("warnings"))
+    found = lambda raw, pattern, group: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit(pattern), F.lit(group)), lambda x: F.rtrim(x, F.lit(".")))))
+
+    def divided(raw: Column) -> Column:
+        year, at = F.regexp_extract(raw, YEAR, 1), F.regexp_instr(raw, F.lit(YEAR))
+        authors = F.trim(F.substring(raw, F.lit(1), at - 1), F.lit(" .,:;"))
+        rest = F.trim(F.substring(raw, at + F.length(year), F.length(raw)), F.lit(" .,:;"))
+        return F.struct(raw.alias("raw"), year.alias("year"), F.when(year == "", "").otherwise(authors).alias("authors"), F.when(year == "", "").otherwise(parse_title(rest)).alias("title"))
+
+    def record(d: Column) -> Column:
+        raw, year, authors, title = d["raw"], d["year"], d["authors"], d["title"]
+        warnings = F.array_compact(F.array(F.when(year == "", "no_year"), F.when(authors == "", "no_authors"), F.when(title == "", "no_title")))
+        confidence = F.when((year == "") | (title == ""), "low").otherwise("medium" if fallback else "high")
+        arxiv = F.array_sort(F.array_distinct(F.regexp_extract_all(raw, F.lit(ARXIV), F.lit(1))))
+        return F.struct(authors.alias("authors"), year.alias("year"), title.alias("title"), arxiv.alias("arxiv_ids"), found(raw, DOI, 0).alias("dois"), found(raw, URL, 0).alias("urls"), confidence.alias("confidence"), warnings.alias("warnings"))
+
+    return let(let(plain_text(raw), divided), record)
 
 
 def is_reference_heading(c: Column) -> Column:
