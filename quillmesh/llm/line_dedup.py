@@ -1,9 +1,10 @@
-"""Line dedup: documents that share rare lines are aligned by patience diff, and common blocks leave the later one.
+"""Line dedup: documents that share runs of lines are aligned by patience diff, and common blocks leave the later one.
 
-A line counts as rare if it has `line_words` words or more and stands in at most `rare_share` of the documents (or in 100
-of a small table). Each rare line leads from every later document to the earliest that has it, so pairs grow with the repeated lines, not with the
-square of a group. Pairs are aligned by the hashes of their stripped lines. The earliest document with a line is never
-after the one that loses it, so one copy of every line stays.
+A run is as few neighbouring lines as have `block_words` words together, counted from its first line or from its last.
+Every line of a common block lies in a run inside the block, so it is enough to lead each run from every later document
+to the earliest that has it: pairs grow with the repeated runs, not with the square of a group. Pairs are aligned by the
+hashes of their stripped lines; a common run that the alignment misses (moved blocks, lines that stand more than once) is
+looked up by its hash. The earliest document with a run is never after the one that loses it, so one copy of every line stays.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import SPACE, join_rows, materialize, rows_of
+from quillmesh.llm.common import SPACE, join_rows, materialize, mix64, rows_of
+
+BASE = 0x9E3779B97F4A7C15
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def _unique(lines: list[int], lo: int, hi: int) -> dict[int, int]:
@@ -66,16 +70,49 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def line_runs(lines, words, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, place after the last, and hash of each run: for every line the shortest that begins and that ends with it."""
+    cum = np.append(0, np.cumsum(np.asarray(words, np.int64)))
+    if cum[-1] < block_words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = len(cum) - 1
+    at = np.arange(n)
+    end = np.searchsorted(cum, cum[:-1] + block_words, "left")
+    begin = np.searchsorted(cum, cum[1:] - block_words, "right") - 1
+    first = np.concatenate([at[end <= n], begin[begin >= 0]])
+    last = np.concatenate([end[end <= n], at[begin >= 0] + 1])
+    power, back = (np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64)), dtype=np.uint64) for b in (BASE, BASE_INVERSE))
+    sums = np.append(np.uint64(0), np.cumsum(mix64(np.asarray(lines, np.int64).view(np.uint64)) * power[:-1], dtype=np.uint64))
+    return first, last, mix64((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+
+
 def common_blocks(later: list[int], words: list[int], earlier: list[int], block_words: int) -> list[int]:
-    """Places of later in blocks of neighbouring matched lines with block_words words or more."""
-    out, block = [], []
+    """Places of later in blocks of neighbouring lines with block_words words or more that stand in earlier as well."""
+    out, block = set(), []
     for i, j in [*patience(later, earlier), (-9, -9)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(words[k] for k, _ in block) >= block_words:
-                out += [k for k, _ in block]
+                out.update(k for k, _ in block)
             block = []
         block.append((i, j))
-    return out
+    if len(out) < len(later):
+        known = dict(zip(later, words, strict=True))  # a run with a line that later lacks is not common, whatever its words
+        first, last, runs = line_runs(later, words, block_words)
+        hit = np.isin(runs, line_runs(earlier, [known.get(x, 0) for x in earlier], block_words)[2])
+        cover = np.zeros(len(later) + 1, np.int64)
+        np.add.at(cover, first[hit], 1), np.add.at(cover, last[hit], -1)
+        out.update(np.flatnonzero(np.cumsum(cover)).tolist())
+    return sorted(out)
+
+
+def _runs(block_words: int):
+    def run(batches):
+        for batch in batches:
+            lines, words = batch.column("lines"), batch.column("words")
+            found = [np.unique(line_runs(x.values.to_numpy(), w.values.to_numpy(), block_words)[2]).view(np.int64) for x, w in zip(lines, words, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__k"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "__k", "runs"])
+
+    return run
 
 
 def _aligned(block_words: int):
@@ -88,7 +125,7 @@ def _aligned(block_words: int):
     return run
 
 
-def shared_blocks(docs: DataFrame, line_words: int = 5, block_words: int = 10, rare_share: float = 0.5) -> DataFrame:
+def shared_blocks(docs: DataFrame, block_words: int = 10) -> DataFrame:
     """(doc_id, __k, drop): the places of the lines that each document loses, counted from 0; documents that lose none are left out."""
     line = F.split(F.coalesce("text", F.lit("")), "\n")
     lined = rows_of(docs, "text").dropDuplicates(["doc_id", "__k"]).select(
@@ -99,12 +136,10 @@ def shared_blocks(docs: DataFrame, line_words: int = 5, block_words: int = 10, r
     )
     lined = materialize(lined, "lines")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__k")
-    long_lines = F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= line_words), lambda x: x["lines"]))
-    each = lined.select(rank.alias("doc"), F.explode(long_lines).alias("line"))
-    rare = each.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter(F.col("n") > 1)
-    if rare_share < 1:
-        rare = rare.filter(F.col("n") <= F.greatest(F.lit(100.0), F.lit(rare_share * lined.count())))
-    pairs = each.join(rare.select("line", "first"), "line").filter("doc <> first").select("doc.doc_id", "doc.__k", F.col("first.doc_id").alias("first_id"), F.col("first.__k").alias("first_k")).distinct()
+    runs = lined.select("doc_id", "__k", "lines", "words").mapInArrow(_runs(block_words), "doc_id long, __k long, runs array<long>")
+    each = materialize(runs.select(rank.alias("doc"), F.explode("runs").alias("run")), "runs")
+    again = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter(F.col("n") > 1)
+    pairs = each.join(again.select("run", "first"), "run").filter("doc <> first").select("doc.doc_id", "doc.__k", F.col("first.doc_id").alias("first_id"), F.col("first.__k").alias("first_k")).distinct()
     owners = lined.select(F.col("doc_id").alias("o_id"), F.col("__k").alias("o_k"), F.col("lines").alias("earlier"))
     both = join_rows(pairs, lined, "inner").join(owners, (F.col("first_k") == F.col("o_k")) & F.col("first_id").eqNullSafe(F.col("o_id")))
     found = both.select("doc_id", "__k", "lines", "words", "earlier").mapInArrow(_aligned(block_words), "doc_id long, __k long, drop array<int>").filter("size(drop) > 0")

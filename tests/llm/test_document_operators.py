@@ -267,6 +267,41 @@ def test_patience_and_line_dedup(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, i) for i in (1, 2, 4, 5, 6, 6)]
 
 
+def shared_lines(texts, block_words=10):
+    """The lines of each text that stand in a block of block_words words or more of an earlier one, by comparing all pairs."""
+    lines = [[x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")] for t in texts]
+    out = []
+    for at, own in enumerate(lines):
+        drop = set()
+        for old in lines[:at]:
+            for i in range(len(own)):
+                for j in range(len(old)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(old) and own[i + n] == old[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[i : i + n]) >= block_words:
+                        drop |= set(range(i, i + n))
+        out.append(drop)
+    return out
+
+
+def test_line_dedup_is_brute_force(spark):
+    """Blocks whose lines have other first owners, blocks of short lines, common, moved and repeated ones, and blank lines."""
+    from quillmesh.llm.line_dedup import dedup_lines
+
+    five = lambda i: f"five words {i} of {i}"
+    verse = [f"rose {i}" for i in range(6)]
+    texts = [five(1), five(2), f"{five(1)}\n{five(2)}\nb", f"c\n{five(1)}\n{five(2)}", "\n".join(verse), "\n".join(["d", *verse]), "\n".join([five(7)] * 2 + ["x"]), "\n".join(["y"] + [five(7)] * 3)]
+    texts += ["\n".join([*(five(i) for i in (11, 12)), "z", *(five(i) for i in (13, 14))]), "\n".join([*(five(i) for i in (13, 14)), "w", *(five(i) for i in (11, 12))])]
+    texts += [f"e {i}\nthis line of ten words stands in all of them\nf {i}" for i in range(150)]
+    rng = random.Random(8)
+    pool = ["", "", " one", "two words", five(21), five(22), "a line of seven words in all ", "this line has ten words or even a few more"]
+    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {rng.random()} x" for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    want = {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop), len(drop)) for i, (t, drop) in enumerate(zip(texts, shared_lines(texts), strict=True))}
+    assert [want[i][1] for i in (3, 5, 7, 9)] == [2, 6, 3, 4]
+    assert {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()} == want
+
+
 def test_language_id(spark):
     from quillmesh.llm.language_id import keep_recognised, language_digest
 
