@@ -1,30 +1,39 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions throughout.
 
 Base rules reject very short and very repetitive texts. Beyond them, each text has a vector of transformed statistics; for
-every language and source a minimum-covariance-determinant estimate is found by concentration steps: start from medians
-and absolute deviations, keep the three quarters of the rows that lie nearest, take their mean and covariance, and repeat.
-A row whose Mahalanobis distance from its group is beyond the cut-off is rejected. All steps are grouped sums and
+every language and source a minimum-covariance-determinant estimate is found by concentration steps: keep the three
+quarters of the rows that lie nearest, take their mean and covariance, and repeat until the determinant stops falling.
+Several starts are followed and the one of least determinant counts. A row whose Mahalanobis distance from its group is beyond the cut-off is rejected. All steps are grouped sums and
 quantile sketches, which combine before the shuffle, so a group with a third of the rows costs no task more than others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import NONSPACE_WORD, fits, materialize, nonspace_words, rows_of
 
 RUN = 8
-STEPS = 3
 CORE = 0.75
 LEAST_ROWS = 60
-CUTOFF = 45.0
+#: The 99.9 % quantile of chi2_5.
+CUTOFF = 20.515
+#: A step that lowers the logarithm of the determinant by less is the last; it is bounded below by FLOORS, so steps end.
+LEAST_FALL = 1e-6
 BROADCAST_GROUPS = 100_000
 #: For five dimensions and the nearest three quarters: CORE / P(chi2_7 <= chi2_5 quantile of CORE).
 CONSISTENCY = 1.41
-#: Least standard deviations of the five statistics, which also keep covariances of constant ones regular.
-FLOORS = (0.08, 0.25, 1.0, 0.4, 1.0)
+#: Least standard deviations of the five statistics, which also keep covariances of constant ones regular. Each can reject
+#: alone: in a group without any spread, 29 % of duplicate lines are beyond the cut-off, or 18 % of repeated words.
+FLOORS = (0.08, 0.25, 0.75, 0.4, 0.65)
 D = len(FLOORS)
+GROUP = ("g_lang", "g_source")
+MEANS = [f"m{i}" for i in range(D)]
+FACTOR = [f"l{i}{j}" for i in range(D) for j in range(i + 1)]
 
 
 def let(value: Column, then) -> Column:
@@ -83,11 +92,11 @@ def statistics(counts: DataFrame) -> DataFrame:
     return counts.withColumn("base_failed", failed).withColumns({f"x{i}": c.cast("double") for i, c in enumerate(x)})
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _with_groups(rows: DataFrame, groups: DataFrame, how: str = "inner", by: tuple[str, ...] = GROUP) -> DataFrame:
     """rows with the columns of their group; the table of groups is broadcast only if it is small."""
-    g = groups.withColumnRenamed("g_lang", "gl").withColumnRenamed("g_source", "gs")
+    g = groups.withColumnsRenamed({c: f"__{c}" for c in by})
     g = F.broadcast(g) if fits(g, BROADCAST_GROUPS) else g
-    return rows.join(g, F.col("g_lang").eqNullSafe(F.col("gl")) & F.col("g_source").eqNullSafe(F.col("gs"))).drop("gl", "gs")
+    return rows.join(g, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]), how).drop(*[f"__{c}" for c in by])
 
 
 def _distance(mean: list[Column], chol: list[list[Column]]) -> Column:
@@ -101,7 +110,7 @@ def _distance(mean: list[Column], chol: list[list[Column]]) -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _factor(groups: DataFrame) -> DataFrame:
+def _factor(groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Mean m0.. and Cholesky factor l00.. of each group, column by column of the factor so that no expression is long."""
     mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(D)}
     out = groups.withColumns(mean)
@@ -113,10 +122,52 @@ def _factor(groups: DataFrame) -> DataFrame:
             for k in range(j):
                 cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(FLOORS[i] ** 2 / 100))) if i == j else cov / F.col(f"l{j}{j}"))
-    return out.select("g_lang", "g_source", *mean, *[f"l{i}{j}" for i in range(D) for j in range(i + 1)])
-
-
-def robust_distances(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    return out.select(*by, *MEANS, *FACTOR).withColumn("log_det", _log_det())
+
+
+def _log_det() -> Column:
+    """The logarithm of the determinant of a covariance, from its factor."""
+    return sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(D)), F.lit(0.0))
+
+
+def _sums() -> list[Column]:
+    """The sums that _factor takes."""
+    return [F.count(F.lit(1)).alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(D) for j in range(i + 1)]
+
+
+def _starts(used: DataFrame) -> DataFrame:
+    """Three models of each group: medians with absolute deviations, mean and covariance of all rows, and lower quartiles
+    with their distance from the median, for statistics that outliers raise only."""
+    mid = materialize(used.groupBy(*GROUP).agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5)), 1000).alias(f"q{i}") for i in range(D)]), "quartiles")
+    off = _with_groups(used, mid).groupBy(*GROUP).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"q{i}")[1]), 0.5, 1000).alias(f"a{i}") for i in range(D)])
+    both = materialize(_with_groups(mid, off), "spreads")
+    found = _factor(used.groupBy(*GROUP).agg(*_sums()), GROUP).withColumn("start", F.lit(1))
+    for k, at, spread in ((0, 1, lambda i: 1.4826 * F.col(f"a{i}")), (2, 0, lambda i: F.col(f"q{i}")[1] - F.col(f"q{i}")[0])):
+        factor = [(F.greatest(spread(i), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)]
+        found = found.unionByName(both.select(*GROUP, *[F.col(f"q{i}")[at].alias(f"m{i}") for i in range(D)], *factor).withColumn("log_det", _log_det()).withColumn("start", F.lit(k)))
+    return found
+
+
+def least_determinant(used: DataFrame) -> DataFrame:
+    """Mean and factor of each group of used(g_lang, g_source, x0..x4): C-steps from every start until none lowers the
+    determinant, and of the ends the one of least determinant."""
+    by = (*GROUP, "start")
+    # a start is not the estimate of three quarters of the rows, so the first step always counts
+    model = materialize(_starts(used).withColumns({"log_det": F.lit(float("inf")), "moving": F.lit(True)}), "start")
+    dist = _distance([F.col(m) for m in MEANS], [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(D)])
+    while model.filter("moving").take(1):
+        at = _with_groups(used, model.filter("moving")).select(*by, *[f"x{i}" for i in range(D)], dist.alias("dist"))
+        near = _with_groups(at, at.groupBy(*by).agg(F.percentile_approx("dist", CORE, 1000).alias("reach")), by=by).filter("dist <= reach")
+        new = materialize(_factor(near.groupBy(*by).agg(*_sums()), by), "step")
+        columns = [*MEANS, *FACTOR, "log_det"]
+        both = _with_groups(model, new.withColumnsRenamed({c: f"new_{c}" for c in columns}), "left", by)
+        fell = F.coalesce(F.col("new_log_det") < F.col("log_det") - LEAST_FALL, F.lit(False))
+        model = materialize(both.select(*by, *[F.when(fell, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in columns], fell.alias("moving")), "model")
+    best = model.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start", *MEANS, *FACTOR)).alias("best"))
+    return materialize(best.select(*GROUP, *[F.col(f"best.{c}") for c in (*MEANS, *FACTOR)]), "least")
+
+
+def robust_distances(rows: DataFrame) -> DataFrame:
     """rows, with x0 to x4, lang and source, and dist, the squared robust distance from their group."""
     rows = materialize(rows, "statistics")
     sizes = rows.filter("n_words > 0").groupBy(F.col("lang").alias("sl"), F.col("source").alias("ss")).agg((F.count(F.lit(1)) >= LEAST_ROWS).alias("own"))
@@ -127,28 +178,14 @@ def robust_distances(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     own = F.coalesce("own", F.lit(False))
     # groups of few rows share one estimate, under a null language; a language that is null itself has a mark of its own
     rows = rows.withColumn("g_lang", F.when(own, F.coalesce(F.concat(F.lit("="), "lang"), F.lit("?")))).withColumn("g_source", F.when(own, F.col("source"))).drop("own")
-    used = rows.filter("n_words > 0")
-    mid = used.groupBy("g_lang", "g_source").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(D)])
-    off = _with_groups(used, mid).groupBy("g_lang", "g_source").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in range(D)])
-    start = mid.join(off.withColumnsRenamed({"g_lang": "al", "g_source": "as"}), F.col("g_lang").eqNullSafe(F.col("al")) & F.col("g_source").eqNullSafe(F.col("as")))
-    spread = {f"l{i}{j}": F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)}
-    model = materialize(start.select("g_lang", "g_source", *[f"m{i}" for i in range(D)], *[c.alias(n) for n, c in spread.items()]), "start")
-    dist = _distance([F.col(f"m{i}") for i in range(D)], [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(D)])
-    for _ in range(steps):
-        at = _with_groups(used, model).select("g_lang", "g_source", *[f"x{i}" for i in range(D)], dist.alias("dist"))
-        near = _with_groups(at, at.groupBy("g_lang", "g_source").agg(F.percentile_approx("dist", CORE, 1000).alias("reach"))).filter("dist <= reach")
-        sums = [F.count(F.lit(1)).alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(D) for j in range(i + 1)]
-        model = materialize(_factor(near.groupBy("g_lang", "g_source").agg(*sums)), "model")
-    full = model.withColumnsRenamed({"g_lang": "gl", "g_source": "gs"})
-    full = F.broadcast(full) if fits(full, BROADCAST_GROUPS) else full
-    return rows.join(full, F.col("g_lang").eqNullSafe(F.col("gl")) & F.col("g_source").eqNullSafe(F.col("gs")), "left").select(*names, dist.alias("dist"))
+    dist = _distance([F.col(m) for m in MEANS], [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(D)])
+    return _with_groups(rows, least_determinant(rows.filter("n_words > 0")), "left").select(*names, dist.alias("dist"))
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, __k, the base counts, base_failed, dist and kept for every row of docs.
 
-    kept is false if a base rule fails or if the squared distance is beyond the cut-off; the latter is wider than the
-    normal quantiles because the statistics of clean texts have long tails. Null and empty texts have no words and fail.
+    kept is false if a base rule fails or if the squared distance is beyond the cut-off. Null and empty texts have no words and fail.
     Null languages and sources are values of their own; groups under LEAST_ROWS rows share one estimate. Rows repeated
     exactly count each time.
     """

@@ -211,6 +211,24 @@ def test_quality_outliers(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(20))
 
 
+def test_quality_outliers_of_each_statistic(spark):
+    """Texts that differ from their group in one statistic alone are rejected, whichever it is."""
+    from quillmesh.llm.quality_rules import quality_rules_digest
+
+    rng = random.Random(12)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))).capitalize() if k % 12 == 0 else "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    words = lambda n=200: [word(k) for k in range(n)]
+    rows = [(i, " ".join(words()), "en", "s") for i in range(300)]
+    lines = ["Abcde fghab", "cdefg habcd", "efgha bcdef", "ghabc defgh", "aabbc ddeef", "gghha abbcc"]
+    for i in range(5):
+        part = words(28)
+        rows += [(1000 + i, " ".join(w + "abcdefgh" for w in words()), "en", "s"), (1010 + i, " ".join(w + "$" for w in words()), "en", "s")]
+        rows += [(1020 + i, "\n".join(rng.choice(lines) for _ in range(100)), "en", "s"), (1030 + i, " ".join(words()).upper(), "en", "s"), (1040 + i, " ".join(part + words(144) + part), "en", "s")]
+    got = {r.doc_id: r for r in quality_rules_digest(frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {1000 + 10 * k + i for k in range(5) for i in range(5)}
+
+
 def test_mix_is_brute_force(spark, docs):
     from quillmesh.llm.mixing import mix, mix_digest
 
