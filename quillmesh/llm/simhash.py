@@ -145,11 +145,12 @@ def close_links(distinct: DataFrame, distance: int = 4, tile: int = TILE, blocks
 
 
 def near_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """doc_id, __k, fp and component_id, the least doc_id reachable over links of at most `distance` bits.
+    """doc_id, __k, fp, root, which tells components apart, and component_id, the least doc_id reachable over links of at most `distance` bits.
 
     A null or empty text, and one of white space alone, has fingerprint 0 and is linked like any other. Texts of fewer
     words than a shingle are hashed whole. Equal rows share a component. Rows without a doc_id take part in links; the
-    least doc_id ignores them, and is null only for a component of such rows alone. An empty table gives an empty result.
+    least doc_id ignores them, and is null only for a component of such rows alone. Where doc_ids are null or repeat,
+    several components have one component_id. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -157,7 +158,7 @@ def near_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFra
     root = F.coalesce("root", "fp").alias("root")
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", root, "least")
     first = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "__k", "fp", "component_id")
+    return prints.join(of.join(first, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "__k", "fp", "root", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of rows repeated exactly one stays. Groups without any doc_id keep the row of least text hash.
     """
     groups = near_groups(docs)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__k")).alias("best")).select("best.doc_id", "best.__k")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__k")).alias("best")).select("best.doc_id", "best.__k")
     own = F.xxhash64(F.col("text"), F.col("doc_id")).alias("__k")
     once = docs.withColumn("__k", own).dropDuplicates(["doc_id", "__k"])
     return join_rows(once, best, "left_semi").select(*docs.columns)

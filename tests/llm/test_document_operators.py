@@ -109,6 +109,16 @@ def test_simhash_is_brute_force(docs):
     assert Counter(tuple(r) for r in simhash_digest(docs).collect()) == want
 
 
+def test_one_row_of_each_simhash_group_stays(spark):
+    """Also where unlike texts lack an id or share one."""
+    from quillmesh.llm.simhash import keep_first
+
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(40)) for _ in range(5))
+    kept = keep_first(frame(spark, [(None, a, "en", "s"), (None, b, "en", "s"), (None, c, "en", "s"), (None, a, "en", "s"), (7, d, "en", "s"), (7, e, "en", "s"), (3, c, "en", "s"), (8, e, "en", "s")])).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (None, b), (3, c), (7, d), (7, e)])
+
+
 @pytest.mark.parametrize("tile,blocks", [(5, 6), (40, 7), (1500, 8)])
 def test_simhash_links_in_crowded_files(spark, tile, blocks):
     """Chains of near fingerprints, many in one file, dealt into small tiles."""
