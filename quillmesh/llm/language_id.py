@@ -14,14 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize, mix64, rows_of
+from quillmesh.llm.common import materialize, mix64, rows_of, small_side
 
 GRAM = 4
 GRAMS_A_LANGUAGE = 8_000
 TRAIN_DOCS_A_LANGUAGE = 4_000
 CELLS = 1 << 20
 HASHES = 3
-MOST_LANGUAGES = 64
+WORD_BITS = 64
+BROADCAST_LANGUAGES = 100_000
 UNDETERMINED = "und"
 BLANK = 32
 
@@ -67,24 +68,31 @@ def _gram_counts(batches):
 def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS_A_LANGUAGE) -> DataFrame:
     """(lang, text) of about per_language rows of each language, chosen by a hash of their ids; rows held out never take part."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = small_side(materialize(sizes, "languages"), BROADCAST_LANGUAGES)
     share = F.lit(float(per_language)) / F.col("n")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003.0
-    return known.join(F.broadcast(sizes), "lang").filter(draw < share).select("lang", "text")
+    return known.join(sizes, "lang").filter(draw < share).select("lang", "text")
 
 
 class BloomModel:
-    """Languages in order, the bits of all of them in each cell, and each one's false positive rate."""
+    """Languages in order, the bits of all of them in each cell, and each one's false positive rate.
+
+    Up to 64 languages take one number a cell, more take a row of several: CELLS * 8 bytes for each 64 languages.
+    """
 
     def __init__(self, languages: list[str], grams: list[np.ndarray]):
         self.languages = languages
-        width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
-        self.cells = np.zeros(CELLS, f"<u{width // 8}")
+        width = next((w for w in (8, 16, 32) if len(languages) <= w), WORD_BITS)
+        words = -(-len(languages) // width)
+        self.cells = np.zeros((CELLS, words) if words > 1 else CELLS, f"<u{width // 8}")
         fill = []
         for i, of in enumerate(grams):
+            word = self.cells[:, i // width] if words > 1 else self.cells
+            bit = i % width
             for h in range(HASHES):
-                self.cells[_cells(of, h)] |= self.cells.dtype.type(1 << i)
-            fill.append((self.cells >> self.cells.dtype.type(i) & self.cells.dtype.type(1)).mean())
+                word[_cells(of, h)] |= word.dtype.type(1 << bit)
+            fill.append((word >> word.dtype.type(bit) & word.dtype.type(1)).mean())
         self.false_rate = np.array(fill) ** HASHES
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -92,18 +100,21 @@ class BloomModel:
         gram = grams_of(text)
         if not len(gram) or not self.languages:
             return UNDETERMINED, 0.0
-        mask = self.cells[_cells(gram, 0)]
-        for h in range(1, HASHES):
-            mask &= self.cells[_cells(gram, h)]
-        bits = np.unpackbits(mask.view(np.uint8).reshape(len(mask), -1), axis=1, bitorder="little")
-        counts = bits.sum(axis=0, dtype=np.int64)[: len(self.languages)]
+        counts = np.zeros(len(self.languages), np.int64)
+        for at in range(0, len(gram), 65_536):
+            part = gram[at : at + 65_536]
+            mask = self.cells[_cells(part, 0)]
+            for h in range(1, HASHES):
+                mask &= self.cells[_cells(part, h)]
+            bits = np.unpackbits(mask.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)[: len(self.languages)]
         share = (counts / len(gram) - self.false_rate) / (1 - self.false_rate)
         best = int(np.argmax(share))
         return self.languages[best], float(np.clip(share[best], 0, 1))
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS_A_LANGUAGE, grams_each: int = GRAMS_A_LANGUAGE) -> BloomModel:
-    """A model from the n-grams most frequent in each language; at most 64 languages of grams_each n-grams come to the driver."""
+    """A model from the n-grams most frequent in each language; grams_each n-grams of every language come to the driver."""
     counts = training_rows(docs, per_language).mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "grams")
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
@@ -129,10 +140,10 @@ def predict(docs: DataFrame, model: BloomModel | None = None) -> DataFrame:
 
     A null text, an empty one and one without a letter get "und" and score 0, as does every text where nothing could be
     learned. Ties go to the language that comes first by code point. Training uses text and lang of rows with both, up to
-    TRAIN_DOCS_A_LANGUAGE rows a language; other columns are ignored. Rows repeated exactly get equal results.
+    TRAIN_DOCS_A_LANGUAGE rows a language, and learns every lang value among them; other columns are ignored. Rows repeated exactly get equal results.
     """
     model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS * 8 bytes at most, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS * 8 bytes for each 64 languages
     return rows_of(docs, "text").mapInArrow(_predicted(shared), "doc_id long, __k long, lang_pred string, score double")
 
 

@@ -348,6 +348,16 @@ def test_language_id(spark):
     assert {r.doc_id for r in keep_recognised(d).collect()} == {r[0] for r in rows} - {500, 501, 502}
 
 
+def test_language_id_learns_every_language(spark):
+    """More languages than a word of the filter has bits."""
+    from quillmesh.llm.language_id import language_digest
+
+    rng = random.Random(14)
+    voc = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for _ in range(70)]
+    rows = [(i, " ".join(rng.choice(voc[i % 70]) for _ in range(25)), f"l{i % 70:02}", "s") for i in range(700)]
+    assert {r.doc_id: r.lang_pred for r in language_digest(frame(spark, rows)).collect()} == {i: lang for i, _, lang, _ in rows}
+
+
 def labelled(spark, n=300):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "Delta", "you"]) for _ in range(60)) + "."
