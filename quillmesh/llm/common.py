@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -19,24 +20,33 @@ NONSPACE_WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
+#: Keys with more than one in so many rows are dealt with apart.
+HEAVY = 1000
+
 #: The same folding for bytes.translate(): A-Z become a-z.
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of the warehouse, or a temporary one if all tasks run in the driver (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        path = "file://" + tempfile.mkdtemp(prefix="spark-scratch-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors."""
+    """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors.
+
+    The results of operators read such tables lazily, so they stay until the application ends, which deletes them.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +64,29 @@ def join_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(r, (left["__k"] == r["__r_k"]) & left["doc_id"].eqNullSafe(r["__r_id"]), how).drop("__r_id", "__r_k")
 
 
+def row_key() -> Column:
+    """The key __k of rows_of."""
+    return F.xxhash64(F.col("text"), F.col("doc_id"))
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, __k): whole rows as one struct, so that no column of the caller can clash with one of an operator."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id"), row_key().alias("__k"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The rows of left with the columns of right, which has one row a key and in n how many rows of left have that key.
+
+    Keys are never null. A key with over a HEAVY-th of all rows would fill one task; there are fewer than HEAVY of these,
+    whatever the input, so they are broadcast and the others shuffle. Both sides are read twice and should be tables.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(1, total // HEAVY)
+    heavy = F.broadcast(right.filter(hot).drop(n))  # fewer than HEAVY rows
+    rest = left.join(F.broadcast(right.filter(hot).select(*keys)), keys, "left_anti").join(right.filter(~hot).drop(n), keys)
+    return left.join(heavy, keys).unionByName(rest)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows: the size check before a broadcast."""
     return len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows

@@ -1,74 +1,101 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame functions throughout.
 
 An item is cut into windows of `window` words (a shorter item is one window), a window into shingles of up to `shingle`
-words. A window can only stand in a document that has all its shingles, so by the prefix principle one of them, the
-rarest, decides whether the pair is looked at. Documents are read once for the shingles that any window has; their counts
-over the whole corpus give the order of rarity. A match of a prefix shingle fixes where its window would start; windows
-that would begin before the document or end after it are dropped by length, and the rest are compared word by word with
-the document's words around the match.
+words. A window can only stand in a document that has all its shingles, so by the prefix principle its rarest one decides
+whether the pair is looked at. One pass counts the windows' shingles over the whole corpus, which gives the order of
+rarity; a second one joins the documents' shingles to the prefixes alone. A match fixes where its window would start;
+windows that would begin before the document or end after it are dropped by length and position, and the rest are
+compared word by word in the documents that have candidates.
+
+Rows that cross a shuffle are (document, place, hash) or (hash); the words of a document stay where they are read, except
+for documents with candidates where these are too many to be broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import alnum_words, gram_at, join_rows, materialize, placed_words, small_side
+from quillmesh.llm.common import alnum_words, gram_at, join_rows, materialize, rows_of, small_side, wrapped
 
-BROADCAST_ROWS = 200_000
+#: Tables of hashes up to so many rows, some 40 bytes each, are broadcast; larger ones shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Lists of candidates hold words, so fewer documents' lists are broadcast.
+BROADCAST_DOCS = 20_000
 
 
 def item_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """(win, words, size): the distinct windows of all items, and (win, item_id) beside them."""
+    """(item_id, words, size): the windows of all items."""
     words = alnum_words(F.col("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words.alias("all")).filter(F.size("all") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)))
     return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("all", s + 1, F.lit(window)))).alias("words")).withColumn("size", F.size("words"))
 
 
-def matched_grams(docs: DataFrame, grams: DataFrame, sizes: list[int], reach: int) -> DataFrame:
-    """(doc_id, __k, n_words, pos, gram, from, around) of every shingle of grams(gram) in the documents, in one pass.
-
-    Each document also has a row with a null gram, which carries its number of words. `around` are the words up to `reach`
-    before and after the place.
-    """
-    wanted = small_side(grams.select("gram").distinct().withColumn("known", F.lit(True)), BROADCAST_ROWS)
-    placed = placed_words(docs)
-    found = None
-    for n, k in enumerate(sizes):
-        inside = F.col("pos") + k <= F.size("all")
-        keyed = placed.withColumn("gram", F.when(inside, gram_at("h", F.col("pos"), k))).join(wanted, "gram", "left")
-        first = F.greatest(F.col("pos") - reach, F.lit(0))
-        hit = keyed.filter(F.col("known")).select("doc_id", "__k", F.size("all").alias("n_words"), "pos", "gram", first.alias("from"), F.slice("all", first + 1, F.lit(2 * reach + 1)).alias("around"))
-        if n == 0:  # the row of each document comes with the first size: one scan serves both
-            head = F.coalesce(F.col("pos") == 0, F.lit(True))
-            known = F.coalesce("known", F.lit(False))
-            rows = F.array_compact(F.array(F.when(known, F.struct(F.col("gram"), first.alias("from"), F.slice("all", first + 1, F.lit(2 * reach + 1)).alias("around"))), F.when(head, F.struct(F.lit(None).cast("long").alias("gram"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("array<string>").alias("around")))))
-            hit = keyed.filter(known | head).select("doc_id", "__k", F.size("all").alias("n_words"), "pos", F.explode(rows).alias("r")).select("doc_id", "__k", "n_words", "pos", "r.*")
-        found = hit if found is None else found.union(hit)
-    return found
-
-
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Where the words of each distinct window stand, (doc_id, __k, start, words, size), and the rows of docs, (doc_id, __k, n_words)."""
-    windows = materialize(item_windows(benchmark, window).select("words", "size").distinct(), "windows")
+def window_grams(windows: DataFrame, shingle: int) -> tuple[DataFrame, list[int]]:
+    """(win, size, offset, gram) of every shingle of windows(win, words, size), and the sizes that shingles have."""
     sizes = [r[0] for r in windows.select(F.least("size", F.lit(shingle)).alias("k")).distinct().orderBy("k").collect()] or [shingle]  # at most `shingle` values
     grams = None
     for k in sizes:
         of_k = windows.filter(F.least("size", F.lit(shingle)) == k).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-        each = of_k.select("words", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - k), lambda o: F.struct(o.alias("offset"), gram_at("h", o, k).alias("gram")))).alias("g")).select("words", "size", "g.*")
+        each = of_k.select("win", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - k), lambda o: F.struct(o.alias("offset"), gram_at("h", o, k).alias("gram")))).alias("g")).select("win", "size", "g.*")
         grams = each if grams is None else grams.union(each)
+    return grams, sizes
+
+
+def placed_grams(sizes: list[int]) -> Column:
+    """An array of (pos, gram), all shingles of the array h of word hashes, for each of the sizes."""
+    none = F.array().cast("array<struct<pos:int,gram:bigint>>")
+
+    def of(k: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("h") - k, F.lit(0)))
+        return F.when(F.size("h") >= k, F.transform(starts, lambda i: F.struct(i.alias("pos"), gram_at("h", i, k).alias("gram")))).otherwise(none)
+
+    return F.concat(*[of(k) for k in sizes])
+
+
+def hashed_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, __k, n_words, h): the hashes of the words of each text, in order."""
+    rows = rows_of(docs, "text").select("doc_id", "__k", F.transform(alnum_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return rows.withColumn("n_words", F.size("h").cast("long"))
+
+
+def candidates(docs: DataFrame, windows: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Places where a window's rarest shingle stands and its other words would fit, (doc_id, __k, start, win, size), and the rows of docs, (doc_id, __k, n_words)."""
+    grams, sizes = window_grams(windows, shingle)
     grams = materialize(grams, "grams")
-    matched = materialize(matched_grams(docs, grams, sizes, window - 1), "matches")
-    found = matched.filter("gram is not null")
-    counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rows = hashed_words(docs)
+    wanted = small_side(materialize(grams.select("gram").distinct(), "wanted"), BROADCAST_ROWS)
+    counts = rows.select(F.explode(F.transform(placed_grams(sizes), lambda g: g["gram"])).alias("gram")).join(wanted, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "gram")
-    prefix = grams.join(counts, "gram", "left").groupBy("words", "size").agg(F.min(rarity).alias("r")).filter("r.n > 0").select("words", "size", "r.offset", "r.gram")
+    prefix = grams.join(counts, "gram", "left").groupBy("win", "size").agg(F.min(rarity).alias("r")).filter("r.n > 0").select("win", "size", "r.offset", "r.gram")
+    prefix = materialize(prefix, "prefixes")
+    first = small_side(prefix.select("gram", F.lit(True).alias("known")).distinct(), BROADCAST_ROWS)
+    head = F.coalesce((F.col("pos") == 0) & (F.col("gram") == F.col("head")), F.lit(True))  # one row of each document stays, whatever matches
+    placed = rows.withColumn("head", gram_at("h", F.lit(0), sizes[0])).select("doc_id", "__k", "n_words", "head", F.inline_outer(placed_grams(sizes)))
+    matched = materialize(placed.join(first, "gram", "left").withColumn("head", head).filter("known or head"), "matches")
     start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
-    same = F.slice("around", start - F.col("from") + 1, F.col("size")) == F.col("words")
-    at = found.join(small_side(prefix, BROADCAST_ROWS), "gram").filter(fits & same).select("doc_id", "__k", start.alias("start"), "words", "size")
-    return at, matched.filter("gram is null").select("doc_id", "__k", F.col("n_words").cast("long").alias("n_words"))
+    inside = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    found = matched.filter("known").join(small_side(prefix, BROADCAST_ROWS), "gram").filter(inside).select("doc_id", "__k", start.alias("start"), "win", "size")
+    return found, matched.filter("head").select("doc_id", "__k", "n_words")
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where windows stand, (doc_id, __k, start, win, size), the rows of docs, (doc_id, __k, n_words), and the items of each window, (item_id, win).
+
+    Every place is verified word by word: the candidates of a document meet its text once.
+    """
+    win = F.sha2(F.concat_ws(" ", "words"), 256).alias("win")  # words have no blanks, so equal digests mean equal words
+    named = materialize(item_windows(benchmark, window).select("item_id", win, "words", "size"), "windows")
+    windows = materialize(named.select("win", "words", "size").distinct(), "distinct-windows")
+    found, rows = candidates(docs, windows, shingle)
+    found = found.distinct().join(small_side(windows.select("win", "words"), BROADCAST_ROWS // 10), "win")
+    lists = materialize(found.groupBy("doc_id", "__k").agg(F.collect_set(F.struct("start", "size", "win", "words")).alias("list")), "candidates")
+    texts = rows_of(docs, "text").select("doc_id", "__k", "text")
+    both = join_rows(texts, small_side(lists, BROADCAST_DOCS), "inner").select("doc_id", "__k", alnum_words(F.col("text")).alias("all"), "list")
+    true = F.filter("list", lambda c: F.slice("all", c["start"] + 1, c["size"]) == c["words"])
+    at = both.select("doc_id", "__k", F.explode(true).alias("c")).select("doc_id", "__k", "c.start", "c.win", "c.size").distinct()
+    return at, rows, named.select("item_id", "win")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, share: int = 20) -> DataFrame:
@@ -76,18 +103,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
 
     Words are A-Z lower-cased runs of letters, digits and non-ASCII characters. A word of the document inside any
     occurrence of a window is hit; a document is contaminated if hits are at least 1 / share of its words. Null and empty
-    texts have no words and no hits; items without words have no window; items without an id hit words but are not
-    counted among the items; ids that repeat count once. Rows repeated exactly get equal results. Either table may be empty.
+    texts have no words and no hits, long ones are searched whole; items without words have no window; items without an id
+    hit words but are not counted among the items; ids that repeat count once, ties of rarity go to the first place. Rows
+    repeated exactly get equal results. Either table may be empty; columns besides those named are ignored, whatever their
+    names.
     """
-    at, rows = occurrences(docs, benchmark, window, shingle)
+    at, rows, named = occurrences(docs, benchmark, window, shingle)
     at = materialize(at, "occurrences")
     by_start = Window.partitionBy("doc_id", "__k").orderBy("start", "size")
     end = F.col("start") + F.col("size")
     reached = F.coalesce(F.max(end).over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = at.select("doc_id", "__k", "start", "size").distinct()
     hits = spans.withColumn("new", F.greatest(F.lit(0), end - F.greatest("start", reached))).groupBy("doc_id", "__k").agg(F.sum("new").alias("n_hit"))
-    named = item_windows(benchmark, window).select("item_id", "words").filter("item_id is not null").distinct()
-    items = at.select("doc_id", "__k", "words").distinct().join(small_side(materialize(named, "items"), BROADCAST_ROWS), "words").groupBy("doc_id", "__k").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    named = materialize(named.filter("item_id is not null").distinct(), "items")
+    items = at.select("doc_id", "__k", "win").distinct().join(small_side(named, BROADCAST_ROWS), "win").groupBy("doc_id", "__k").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     joined = join_rows(join_rows(rows, hits, "left"), items, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
@@ -100,6 +129,9 @@ def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated."""
+    """The rows of docs that are not contaminated, with all their columns, whatever their names.
+
+    Null and empty texts stay, as do all rows where either table is empty; rows repeated exactly fare alike.
+    """
     bad = contamination(docs, benchmark).filter("contaminated").select("doc_id", "__k").distinct()
-    return join_rows(docs.withColumn("__k", F.xxhash64("text", "doc_id")), bad, "left_anti").select(*docs.columns)
+    return join_rows(wrapped(docs), small_side(materialize(bad, "contaminated"), BROADCAST_ROWS), "left_anti").select("row.*")
