@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import SPACE, join_rows, materialize, mix64, rows_of
+from quillmesh.llm.common import SPACE, join_rows, materialize, mix64, rows_of, spread_join, wrapped
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: So many later documents are aligned with one owner in a task.
+OWNER_SHARE = 2_000
 
 
 def _unique(lines: list[int], lo: int, hi: int) -> dict[int, int]:
@@ -118,8 +120,8 @@ def _runs(block_words: int):
 def _aligned(block_words: int):
     def run(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("lines", "words", "earlier")]
-            drop = [common_blocks(*row, block_words) for row in zip(*cols, strict=True)]
+            lines, words, earlier = (batch.column(c) for c in ("lines", "words", "earlier"))
+            drop = [common_blocks(lines[i].as_py(), words[i].as_py(), earlier[i].as_py(), block_words) for i in range(batch.num_rows)]  # one pair at a time in memory
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__k"), pa.array(drop, pa.list_(pa.int32()))], ["doc_id", "__k", "drop"])
 
     return run
@@ -138,10 +140,16 @@ def shared_blocks(docs: DataFrame, block_words: int = 10) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__k")
     runs = lined.select("doc_id", "__k", "lines", "words").mapInArrow(_runs(block_words), "doc_id long, __k long, runs array<long>")
     each = materialize(runs.select(rank.alias("doc"), F.explode("runs").alias("run")), "runs")
-    again = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter(F.col("n") > 1)
-    pairs = each.join(again.select("run", "first"), "run").filter("doc <> first").select("doc.doc_id", "doc.__k", F.col("first.doc_id").alias("first_id"), F.col("first.__k").alias("first_k")).distinct()
-    owners = lined.select(F.col("doc_id").alias("o_id"), F.col("__k").alias("o_k"), F.col("lines").alias("earlier"))
-    both = join_rows(pairs, lined, "inner").join(owners, (F.col("first_k") == F.col("o_k")) & F.col("first_id").eqNullSafe(F.col("o_id")))
+    again = materialize(each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1"), "again")
+    pairs = spread_join(each, again, ["run"]).filter("doc <> first")
+    pairs = pairs.select("doc.doc_id", "doc.__k", F.col("first.doc_id").alias("first_id"), F.col("first.__k").alias("first_k"), F.xxhash64("first").alias("owner")).distinct()
+    pairs = materialize(pairs, "pairs")
+    # an owner of many later documents is sent to several tasks, each with a share of these
+    owners = materialize(pairs.groupBy("owner", "first_id", "first_k").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / OWNER_SHARE).cast("int")), "owners")
+    pairs = spread_join(pairs, owners.select("owner", "n", "shares"), ["owner"]).withColumn("share", F.pmod(F.col("__k"), F.col("shares")).cast("int"))
+    held = join_rows(owners.select(F.col("first_id").alias("doc_id"), F.col("first_k").alias("__k"), "owner", "shares"), lined.select("doc_id", "__k", F.col("lines").alias("earlier")), "inner")
+    held = held.select("owner", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "earlier")
+    both = join_rows(pairs.drop("shares", "first_id", "first_k"), lined, "inner").join(held, ["owner", "share"])
     found = both.select("doc_id", "__k", "lines", "words", "earlier").mapInArrow(_aligned(block_words), "doc_id long, __k long, drop array<int>").filter("size(drop) > 0")
     return found.groupBy("doc_id", "__k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("drop"))
 
@@ -156,14 +164,16 @@ def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
     """docs with text freed of the blocks that an earlier document has, and n_lines and n_removed beside its own columns.
 
     Earlier means a smaller doc_id, null last, then the smaller text hash. Rows repeated exactly are one document and get
-    the same result; null and empty texts have one empty line and lose nothing. All columns of docs stay; clashing ones of
-    the names n_lines and n_removed are replaced.
+    the same result; null and empty texts have one empty line and lose nothing; texts of any length are aligned whole, one
+    pair at a time. All columns of docs stay, whatever their names, but those named n_lines and n_removed are replaced. An
+    empty table gives an empty one.
     """
-    drop = shared_blocks(docs, **parameters)
-    own = docs.withColumn("__k", F.xxhash64(F.col("text"), F.col("doc_id")))
-    joined = join_rows(own, drop, "left")
-    count = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
-    return joined.select(*[F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")], _kept(F.col("text"), F.col("drop")).alias("text"), count.alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_removed"))
+    drop = shared_blocks(docs, **parameters).withColumnRenamed("drop", "lost")
+    joined = join_rows(wrapped(docs), drop, "left")
+    text = F.col("row.text")
+    count = F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long")
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return joined.select(*others, _kept(text, F.col("lost")).alias("text"), count.alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_removed"))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
@@ -172,8 +182,13 @@ def line_dedup_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_shared_blocks(docs: DataFrame) -> DataFrame:
-    """The columns of docs, n_chars counted again, without the documents that lost every line with a word."""
-    left = dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """The rows and columns of docs, n_chars counted again, with lines removed as dedup_lines does, without the documents that lost every line with a word.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names are treated as dedup_lines does.
+    """
+    inner = docs.select(F.struct("*").alias("row"), "text", "doc_id")
+    left = dedup_lines(inner).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -3,7 +3,8 @@
 The 64 bits are cut into blocks; two fingerprints that differ in at most `distance` bits agree on all blocks but
 `distance`, so each fingerprint is filed under every choice of that many fewer blocks and close pairs meet in one file.
 Equal fingerprints are one node from the start. A file of many fingerprints is dealt into tiles of pairs of its parts; a
-tile reports a spanning forest of its links, which is all that components need, so no group emits all its pairs.
+tile reports a spanning forest of its links, which is all that components need, so no group emits all its pairs. The
+largest files are not compared in pairs at all: their fingerprints meet at the numbers half the distance from both.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import LOWER_BYTES, join_rows, materialize, rows_of
+from quillmesh.llm.common import LOWER_BYTES, join_rows, materialize, rows_of, spread_join, wrapped
 from quillmesh.llm.components import components
 
 SEED = 42
 TILE = 1500
+#: Beyond, tiles would make more rows than stars, about a thousand a fingerprint.
+CROWDED = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -128,37 +131,64 @@ def _links(distance: int, small: int = 24):
     return run
 
 
-def close_links(distinct: DataFrame, distance: int = 4, tile: int = TILE, blocks: int | None = None) -> DataFrame:
-    """(a, b): links between fingerprints of distinct(fp) at most `distance` bits apart, enough to connect all that are linked."""
+def _stars(crowded: DataFrame, distance: int, chosen: list[int]) -> DataFrame:
+    """(a, b): the links inside crowded(fp, choice), files of any number of fingerprints, for an even distance.
+
+    Two fingerprints are at most `distance` bits apart if and only if some number is at most half as many bits from both,
+    in bits that their file leaves free. Each is sent to all numbers so near, a fixed count; those that meet at a number,
+    of which there are no more than that, are linked to the least of them.
+    """
+    spark = crowded.sparkSession
+    free = [[b for b in range(64) if not m >> b & 1] for m in chosen]
+    flips = [(i, sum(1 << b for b in c) - (1 << 64 if 63 in c else 0)) for i, bits in enumerate(free) for r in range(distance // 2 + 1) for c in combinations(bits, r)]
+    flips = F.broadcast(spark.createDataFrame(flips, "choice int, flip long"))  # fixed by the number of bits and blocks
+    met = crowded.join(flips, "choice").groupBy("choice", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")).agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    return met.filter("size(fps) > 1").select(F.explode(F.expr("slice(fps, 2, size(fps))")).alias("a"), F.col("fps")[0].alias("b")).distinct()
+
+
+def close_links(distinct: DataFrame, distance: int = 4, tile: int = TILE, blocks: int | None = None, crowded: int = CROWDED) -> DataFrame:
+    """(a, b): links between fingerprints of distinct(fp) at most `distance` bits apart, enough to connect all that are linked.
+
+    A file of up to `crowded` fingerprints is dealt into tiles of pairs of its parts, one of more into stars, whose rows
+    grow with its size alone (an odd distance has tiles only).
+    """
     blocks = blocks or blocks_for(distinct.count(), distance)
-    filed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks(distance, blocks))])).alias("f")).select("fp", "f.*")
-    many = filed.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / tile).cast("int")
+    chosen = masks(distance, blocks)
+    filed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(chosen)])).alias("f")).select("fp", "f.*")
+    filed = materialize(filed, "filed")
+    many = materialize(filed.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("of_file", F.col("n")), "files")
+    most = F.lit(crowded if distance % 2 == 0 else 1 << 62)
+    shared = materialize(spread_join(filed, many, ["choice", "part"]), "shared")
+    parts = F.ceil(F.col("of_file") / tile).cast("int")
     dealt = (
-        filed.join(many, ["choice", "part"])
+        shared.filter(F.col("of_file") <= most)
         .withColumn("of", F.pmod(F.xxhash64("fp"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("choice", "part", F.least("of", "other").alias("t1"), F.greatest("of", "other").alias("t2"), "fp")
     )
     tile_of = ["choice", "part", "t1", "t2"]
-    return dealt.repartition(*tile_of).sortWithinPartitions(*tile_of).mapInArrow(_links(distance), "a long, b long")
+    links = dealt.repartition(*tile_of).sortWithinPartitions(*tile_of).mapInArrow(_links(distance), "a long, b long")
+    largest = shared.filter(F.col("of_file") > most).select("fp", "choice")
+    return links.union(_stars(largest, distance, chosen)) if largest.take(1) else links
 
 
 def near_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, __k, fp, root, which tells components apart, and component_id, the least doc_id reachable over links of at most `distance` bits.
 
     A null or empty text, and one of white space alone, has fingerprint 0 and is linked like any other. Texts of fewer
-    words than a shingle are hashed whole. Equal rows share a component. Rows without a doc_id take part in links; the
-    least doc_id ignores them, and is null only for a component of such rows alone. Where doc_ids are null or repeat,
-    several components have one component_id. An empty table gives an empty result.
+    words than a shingle are hashed whole, texts of any length are read whole. Equal rows share a component. Rows without
+    a doc_id take part in links; the least doc_id ignores them, and is null only for a component of such rows alone. Where
+    doc_ids are null or repeat, several components have one component_id. An empty table gives an empty result. Columns
+    besides doc_id and text are ignored.
     """
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(close_links(distinct.select("fp"), distance))
     root = F.coalesce("root", "fp").alias("root")
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", root, "least")
-    first = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(first, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "__k", "fp", "root", "component_id")
+    of = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", root, "least"), "roots")
+    first = materialize(of.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "first")
+    found = materialize(spread_join(of.select("fp", "root", F.col("n").alias("rows")), first, ["root"]).withColumnRenamed("rows", "n"), "found")
+    return spread_join(prints, found, ["fp"]).select("doc_id", "__k", "fp", "root", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -167,12 +197,12 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their group, and of rows that share it the one of least text hash.
+    """The rows of docs whose doc_id is the least of their group, null last, and of rows that share it the one of least text hash.
 
-    Of rows repeated exactly one stays. Groups without any doc_id keep the row of least text hash.
+    Of rows repeated exactly one stays. Groups without any doc_id keep the row of least text hash; null and empty texts
+    are a group like any other. All columns stay, whatever their names; an empty table gives an empty one.
     """
     groups = near_groups(docs)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__k")).alias("best")).select("best.doc_id", "best.__k")
-    own = F.xxhash64(F.col("text"), F.col("doc_id")).alias("__k")
-    once = docs.withColumn("__k", own).dropDuplicates(["doc_id", "__k"])
-    return join_rows(once, best, "left_semi").select(*docs.columns)
+    once = wrapped(docs).dropDuplicates(["doc_id", "__k"])
+    return join_rows(once, best, "left_semi").select("row.*")
