@@ -140,7 +140,8 @@ def predict(docs: DataFrame, model: BloomModel | None = None) -> DataFrame:
 
     A null text, an empty one and one without a letter get "und" and score 0, as does every text where nothing could be
     learned. Ties go to the language that comes first by code point. Training uses text and lang of rows with both, up to
-    TRAIN_DOCS_A_LANGUAGE rows a language, and learns every lang value among them; other columns are ignored. Rows repeated exactly get equal results.
+    TRAIN_DOCS_A_LANGUAGE rows a language, and learns every lang value among them; other columns, whatever their names, are ignored. Long texts are
+    counted in slices and judged whole. Rows repeated exactly get equal results; an empty table gives an empty one.
     """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS * 8 bytes for each 64 languages
@@ -148,12 +149,16 @@ def predict(docs: DataFrame, model: BloomModel | None = None) -> DataFrame:
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """The columns of the contract."""
-    return predict(docs).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+    """The columns of the contract; rows without a doc_id are not held out, nor are they learned from."""
+    return predict(docs).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_recognised(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows of docs with a predicted language and a score of at least `least`."""
+    """The rows of docs with a predicted language and a score of at least `least`, with all their columns, whatever their names.
+
+    Null texts and those without a letter go; long texts are judged whole; rows repeated exactly fare alike. An empty
+    table gives an empty one.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     names = docs.columns
 

@@ -125,7 +125,8 @@ def features(docs: DataFrame) -> DataFrame:
 def train(shapes: DataFrame, labels: DataFrame, held_out, label: str = "quality", most: int = TRAIN_ROWS) -> AdditiveModel:
     """A model from at most `most` labelled rows, chosen by id hash among those not held out."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(f"y in (0, 1) and doc_id is not null").filter(~held_out)
-    rows = sample_bound(shapes.join(known, "doc_id").select("doc_id", "x", "y"), most).collect()
+    ids = F.broadcast(materialize(sample_bound(known, most), "sample"))  # at most `most` ids
+    rows = shapes.join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id", "y").collect()  # one row where ids repeat in docs
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(NAMES))
     return AdditiveModel(x, np.array([r["y"] for r in rows], float))
 
@@ -136,7 +137,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The model learns from labels of rows whose crc32(doc_id as text) mod 5 is not 0, at most TRAIN_ROWS of them; its inputs
     are shape features of the whole text. Null and empty texts have zero features and get a score like any other. Labels
     other than 0 and 1 are ignored; rows of labels that repeat count each time. Without labels of both kinds the score is
-    their smoothed share. Rows without a doc_id are scored and not held out.
+    their smoothed share. Rows without a doc_id are scored and not held out; rows repeated exactly get equal scores. Long
+    texts are measured whole. Columns besides doc_id and text are ignored, whatever their names; an empty table gives an
+    empty one.
     """
     shapes = materialize(features(docs), "shapes")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

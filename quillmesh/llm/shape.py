@@ -70,8 +70,16 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, j], "right") for j, c in enumerate(cuts)], axis=1) if len(x) else np.zeros((0, len(cuts)), np.int64)
 
 
-def sample_bound(rows, most: int):
-    """The `most` rows of least id hash: a bounded, repeatable sample, found by a distributed top-k."""
+def sample_bound(ids, most: int):
+    """The `most` rows of ids(doc_id, ...) of least id hash: a bounded, repeatable sample.
+
+    Where there are more rows, a threshold on the hash first leaves about that many in all tasks together, so that no task
+    sends more than its share to the top-k.
+    """
     from pyspark.sql import functions as F
 
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
+    n, draw = ids.count(), F.xxhash64("doc_id", F.lit(3))
+    if n > most:
+        least = 1.2 * most / n + 100 / n
+        ids = ids.filter(draw < F.lit(int(min(1.0, least) * ((1 << 64) - 2)) - (1 << 63)))
+    return ids.orderBy(draw, "doc_id").limit(most)

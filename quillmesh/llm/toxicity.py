@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import WordHashes, rows_of
+from quillmesh.llm.common import WordHashes, materialize, rows_of
 from quillmesh.llm.shape import binned, cut_points, sample_bound, shape, sigmoid
 
 TRAIN_ROWS = 12_000
@@ -161,8 +161,7 @@ class BoostedTrees:
         self.iso_y = np.array([means[0], *means, means[-1]])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        raw = self._raw(binned(x, self.cuts))
-        return 0.95 * np.interp(raw, self.iso_x, self.iso_y) + 0.05 * raw  # the small share keeps the order inside a pool
+        return np.interp(self._raw(binned(x, self.cuts)), self.iso_x, self.iso_y)
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", most: int = TRAIN_ROWS) -> tuple[BoostedTrees, frozenset]:
@@ -171,11 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", mo
     ids = sample_bound(known, most)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("fold")
     check = (F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0).alias("check")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", fold, check)  # at most `most` ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most `most` ids
+    rows = materialize(rows.select("text", "y", fold, check), "sample")
     counts = rows.mapInArrow(word_counts, "fold int, word string, toxic long, clean long").groupBy("fold", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = {r["fold"]: (r["t"], r["n"] - r["t"]) for r in rows.groupBy("fold").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
-    from quillmesh.llm.common import materialize
-
     counts = materialize(counts, "words")
     lexicons = docs.sparkSession.sparkContext.broadcast([lexicon(counts, totals, (1,)), lexicon(counts, totals, (0,))])
 
@@ -198,7 +196,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Trees, lexicons and calibration learn from labels of rows whose crc32(doc_id as text) mod 4 is not 2, at most
     TRAIN_ROWS of them. Null and empty texts have zero features and get a score like any other. Labels other than 0 and 1
     are ignored. Without labels of both kinds the score is their smoothed share. Rows without a doc_id are scored and not
-    held out; rows repeated exactly get equal scores.
+    held out; rows repeated exactly get equal scores. Long texts are measured whole. Columns besides doc_id and text are
+    ignored, whatever their names; an empty table gives an empty one.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, held))  # trees and LEXICON_WORDS words
