@@ -3,8 +3,10 @@
 Base rules reject very short and very repetitive texts. Beyond them, each text has a vector of transformed statistics; for
 every language and source a minimum-covariance-determinant estimate is found by concentration steps: keep the three
 quarters of the rows that lie nearest, take their mean and covariance, and repeat until the determinant stops falling.
-Several starts are followed and the one of least determinant counts. A row whose Mahalanobis distance from its group is beyond the cut-off is rejected. All steps are grouped sums and
-quantile sketches, which combine before the shuffle, so a group with a third of the rows costs no task more than others.
+Several starts are followed and the one of least determinant counts. Estimates are nested: all rows, a language, a language
+and source; each counts the estimate above it as PRIOR_ROWS rows more, so small groups lean on it and large ones hardly do.
+A row whose Mahalanobis distance from its group is beyond the cut-off is rejected. All steps are grouped sums and quantile
+sketches, which combine before the shuffle, so a group with a third of the rows costs no task more than others.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from quillmesh.llm.common import NONSPACE_WORD, fits, materialize, nonspace_word
 
 RUN = 8
 CORE = 0.75
-LEAST_ROWS = 60
+#: The weight in rows of the estimate above: about four rows for each of the fifteen figures of a covariance.
+PRIOR_ROWS = 60.0
 #: The 99.9 % quantile of chi2_5.
 CUTOFF = 20.515
 #: A step that lowers the logarithm of the determinant by less is the last; it is bounded below by FLOORS, so steps end.
@@ -110,8 +113,21 @@ def _distance(mean: list[Column], chol: list[list[Column]]) -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _factor(groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Mean m0.. and Cholesky factor l00.. of each group, column by column of the factor so that no expression is long."""
+def _factor(groups: DataFrame, by: tuple[str, ...], prior: DataFrame | None = None) -> DataFrame:
+    """Mean m0.. and Cholesky factor l00.. of each group of sums, column by column of the factor so that no expression is long.
+
+    prior has the mean and factor of the estimate above each group; they count as PRIOR_ROWS rows.
+    """
+    if prior is not None:
+        above = prior.select(*GROUP, *[F.col(c).alias(f"p_{c}") for c in (*MEANS, *FACTOR)])
+        groups = _with_groups(groups, above)
+        own = {"n": F.col("n") + PRIOR_ROWS} | {f"s{i}": F.col(f"s{i}") + PRIOR_ROWS * F.col(f"p_m{i}") for i in range(D)}
+        for i in range(D):
+            for j in range(i + 1):
+                cov = sum((F.col(f"p_l{i}{k}") * F.col(f"p_l{j}{k}") for k in range(j + 1)), F.lit(-(FLOORS[i] ** 2) if i == j else 0.0))
+                cov = F.greatest(cov, F.lit(0.0)) if i == j else cov
+                own[f"s{i}{j}"] = F.col(f"s{i}{j}") + PRIOR_ROWS * (cov / CONSISTENCY + F.col(f"p_m{i}") * F.col(f"p_m{j}"))
+        groups = groups.select(*by, *[c.alias(name) for name, c in own.items()])
     mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(D)}
     out = groups.withColumns(mean)
     for i in range(D):
@@ -138,8 +154,8 @@ def _sums() -> list[Column]:
 def _starts(used: DataFrame) -> DataFrame:
     """Three models of each group: medians with absolute deviations, mean and covariance of all rows, and lower quartiles
     with their distance from the median, for statistics that outliers raise only."""
-    mid = materialize(used.groupBy(*GROUP).agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5)), 1000).alias(f"q{i}") for i in range(D)]), "quartiles")
-    off = _with_groups(used, mid).groupBy(*GROUP).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"q{i}")[1]), 0.5, 1000).alias(f"a{i}") for i in range(D)])
+    mid = materialize(used.groupBy(*GROUP).agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5)), 10_000).alias(f"q{i}") for i in range(D)]), "quartiles")
+    off = _with_groups(used, mid).groupBy(*GROUP).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"q{i}")[1]), 0.5, 10_000).alias(f"a{i}") for i in range(D)])
     both = materialize(_with_groups(mid, off), "spreads")
     found = _factor(used.groupBy(*GROUP).agg(*_sums()), GROUP).withColumn("start", F.lit(1))
     for k, at, spread in ((0, 1, lambda i: 1.4826 * F.col(f"a{i}")), (2, 0, lambda i: F.col(f"q{i}")[1] - F.col(f"q{i}")[0])):
@@ -148,17 +164,17 @@ def _starts(used: DataFrame) -> DataFrame:
     return found
 
 
-def least_determinant(used: DataFrame) -> DataFrame:
+def least_determinant(used: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Mean and factor of each group of used(g_lang, g_source, x0..x4): C-steps from every start until none lowers the
-    determinant, and of the ends the one of least determinant."""
+    determinant, and of the ends the one of least determinant. prior has the estimate above each group."""
     by = (*GROUP, "start")
     # a start is not the estimate of three quarters of the rows, so the first step always counts
     model = materialize(_starts(used).withColumns({"log_det": F.lit(float("inf")), "moving": F.lit(True)}), "start")
     dist = _distance([F.col(m) for m in MEANS], [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(D)])
     while model.filter("moving").take(1):
         at = _with_groups(used, model.filter("moving")).select(*by, *[f"x{i}" for i in range(D)], dist.alias("dist"))
-        near = _with_groups(at, at.groupBy(*by).agg(F.percentile_approx("dist", CORE, 1000).alias("reach")), by=by).filter("dist <= reach")
-        new = materialize(_factor(near.groupBy(*by).agg(*_sums()), by), "step")
+        near = _with_groups(at, at.groupBy(*by).agg(F.percentile_approx("dist", CORE, 10_000).alias("reach")), by=by).filter("dist <= reach")
+        new = materialize(_factor(near.groupBy(*by).agg(*_sums()), by, prior), "step")
         columns = [*MEANS, *FACTOR, "log_det"]
         both = _with_groups(model, new.withColumnsRenamed({c: f"new_{c}" for c in columns}), "left", by)
         fell = F.coalesce(F.col("new_log_det") < F.col("log_det") - LEAST_FALL, F.lit(False))
@@ -167,27 +183,37 @@ def least_determinant(used: DataFrame) -> DataFrame:
     return materialize(best.select(*GROUP, *[F.col(f"best.{c}") for c in (*MEANS, *FACTOR)]), "least")
 
 
+def nested_estimates(used: DataFrame) -> DataFrame:
+    """Mean and factor of each language and source of used: first of all rows, then of languages, then of these groups."""
+    keys = materialize(used.select(*GROUP).distinct(), "groups")
+    model, above = None, ()
+    for known in ((), ("g_lang",), GROUP):
+        level = lambda df, by: df.withColumns({g: F.lit("") for g in GROUP if g not in by})
+        prior = None
+        if model is not None:  # the model of the level above, under the keys of this one
+            here = level(keys, known).distinct().withColumns({f"own_{g}": F.col(g) for g in GROUP})
+            prior = _with_groups(level(here, above), model).select(*[F.col(f"own_{g}").alias(g) for g in GROUP], *MEANS, *FACTOR)
+            prior = materialize(prior, "prior")
+        model, above = least_determinant(level(used, known), prior), known
+    return model
+
+
 def robust_distances(rows: DataFrame) -> DataFrame:
     """rows, with x0 to x4, lang and source, and dist, the squared robust distance from their group."""
-    rows = materialize(rows, "statistics")
-    sizes = rows.filter("n_words > 0").groupBy(F.col("lang").alias("sl"), F.col("source").alias("ss")).agg((F.count(F.lit(1)) >= LEAST_ROWS).alias("own"))
-    sizes = materialize(sizes, "sizes")
-    sizes = F.broadcast(sizes) if fits(sizes, BROADCAST_GROUPS) else sizes
-    names = rows.columns
-    rows = rows.join(sizes, F.col("lang").eqNullSafe(F.col("sl")) & F.col("source").eqNullSafe(F.col("ss")), "left").drop("sl", "ss")
-    own = F.coalesce("own", F.lit(False))
-    # groups of few rows share one estimate, under a null language; a language that is null itself has a mark of its own
-    rows = rows.withColumn("g_lang", F.when(own, F.coalesce(F.concat(F.lit("="), "lang"), F.lit("?")))).withColumn("g_source", F.when(own, F.col("source"))).drop("own")
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))  # noqa: E731  # null is a value of its own
+    rows = materialize(rows.withColumns({"g_lang": mark("lang"), "g_source": mark("source")}), "statistics")
+    names = [c for c in rows.columns if c not in GROUP]
     dist = _distance([F.col(m) for m in MEANS], [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(D)])
-    return _with_groups(rows, least_determinant(rows.filter("n_words > 0")), "left").select(*names, dist.alias("dist"))
+    return _with_groups(rows, nested_estimates(rows.filter("n_words > 0")), "left").select(*names, dist.alias("dist"))
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, __k, the base counts, base_failed, dist and kept for every row of docs.
 
     kept is false if a base rule fails or if the squared distance is beyond the cut-off. Null and empty texts have no words and fail.
-    Null languages and sources are values of their own; groups under LEAST_ROWS rows share one estimate. Rows repeated
-    exactly count each time.
+    Null languages and sources are values of their own. Rows repeated exactly count each time and fare alike; long texts
+    are counted whole; columns besides doc_id, text, lang and source are ignored, whatever their names; an empty table gives
+    an empty one. Quartiles and cut-offs of steps come from quantile sketches, exact to a ten-thousandth of a group's rows.
     """
     rows = robust_distances(statistics(base_counts(docs)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce("dist", F.lit(0.0)) <= cutoff))
