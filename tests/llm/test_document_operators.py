@@ -192,6 +192,30 @@ def test_license_base_is_brute_force(docs):
     assert all(labels[i] in found[i] for i in found)
 
 
+def test_license_labels_of_altered_notices(spark):
+    """Each template with a word left out, one put in, one exchanged, or cut in two lines: found, and not as its neighbour; other text has no label."""
+    from quillmesh.llm.licenses import TEMPLATES, license_scan
+
+    rng = random.Random(20)
+    rows, want = [], []
+    for label, texts in TEMPLATES.items():
+        for t in texts:
+            words = t.split()
+            for change in range(4):
+                at = rng.randrange(4, len(words) - 3) if len(words) > 8 else None
+                w = list(words)
+                if at is not None and change < 3:
+                    w[at : at + 1] = ([], [w[at], "indeed"], ["other"])[change]
+                rows.append((len(rows), "see here: " + " ".join(w[:6]) + "\n# " + " ".join(w[6:]) + " end", None, None))
+                want.append((label, change == 3 or at is None))
+    rows.append((10_000, "permission to use a copy of this text is not granted, any license of the software and the terms are free of use", None, None))
+    found = {r.doc_id: set(r.labels.split(",")) for r in license_scan(frame(spark, rows)).collect()}
+    assert found[10_000] == {""}
+    assert all(label in found[i] for i, (label, plain) in enumerate(want) if plain)
+    assert np.mean([label in found[i] for i, (label, _) in enumerate(want)]) > 0.9
+    assert [(label, found[i], rows[i][1]) for i, (label, plain) in enumerate(want) if plain and label.startswith(("cc", "lgpl", "agpl")) and found[i] - {"gpl"} != {label}] == []
+
+
 def test_quality_base_is_brute_force(docs):
     from quillmesh.llm.quality_rules import quality_rules_digest
 
