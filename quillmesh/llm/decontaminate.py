@@ -7,8 +7,7 @@ rarity; a second one joins the documents' shingles to the prefixes alone. A matc
 windows that would begin before the document or end after it are dropped by length and position, and the rest are
 compared word by word in the documents that have candidates.
 
-Rows that cross a shuffle are (document, place, hash) or (hash); the words of a document stay where they are read, except
-for documents with candidates where these are too many to be broadcast.
+Rows that cross a shuffle are (document, place, hash) or (hash), and the texts of documents with candidates, once.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ from quillmesh.llm.common import alnum_words, gram_at, join_rows, materialize, r
 
 #: Tables of hashes up to so many rows, some 40 bytes each, are broadcast; larger ones shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Lists of candidates hold words, so fewer documents' lists are broadcast.
-BROADCAST_DOCS = 20_000
 
 
 def item_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
@@ -91,8 +88,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle
     found, rows = candidates(docs, windows, shingle)
     found = found.distinct().join(small_side(windows.select("win", "words"), BROADCAST_ROWS // 10), "win")
     lists = materialize(found.groupBy("doc_id", "__k").agg(F.collect_set(F.struct("start", "size", "win", "words")).alias("list")), "candidates")
-    texts = rows_of(docs, "text").select("doc_id", "__k", "text")
-    both = join_rows(texts, small_side(lists, BROADCAST_DOCS), "inner").select("doc_id", "__k", alnum_words(F.col("text")).alias("all"), "list")
+    keys = small_side(lists.select("doc_id", "__k"), BROADCAST_ROWS)
+    texts = join_rows(rows_of(docs, "text").select("doc_id", "__k", "text"), keys, "left_semi")
+    both = join_rows(texts, lists, "inner").select("doc_id", "__k", alnum_words(F.col("text")).alias("all"), "list")
     true = F.filter("list", lambda c: F.slice("all", c["start"] + 1, c["size"]) == c["words"])
     at = both.select("doc_id", "__k", F.explode(true).alias("c")).select("doc_id", "__k", "c.start", "c.win", "c.size").distinct()
     return at, rows, named.select("item_id", "win")
