@@ -33,8 +33,9 @@ def squeeze(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC; texts in ASCII never reach Python."""
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(_nfc()(c))
+    """Unicode NFC; rows whose text is ASCII reach Python as nulls only."""
+    other = F.when(F.octet_length(c) != F.char_length(c), c)
+    return F.coalesce(_nfc()(other), c)
 
 
 def _nfc():

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as t
 
-LEVELS = 6
 MOST_RANGE = 50
 
 
@@ -99,13 +98,14 @@ def outside_earlier_spans(spans: DataFrame, key: str, start: str, end: str, orde
 def section_bounds(headings: DataFrame, key: str, pos: str, level: str) -> DataFrame:
     """JN17, WN7: headings with end_pos, the next heading of the same or a higher level, and parent_pos, the last of a higher level.
 
-    One pass of windows for all levels; a document's headings are read once and no pair of them is formed.
+    One pass of windows for all levels there are; a document's headings are read once and no pair of them is formed.
     """
+    levels = sorted(r[0] for r in headings.select(level).filter(F.col(level).isNotNull()).distinct().collect())  # a few, such as 1 to 6
     after = Window.partitionBy(key).orderBy(pos).rowsBetween(1, Window.unboundedFollowing)
     before = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = [F.min(F.when(F.col(level) <= k, F.col(pos))).over(after) for k in range(1, LEVELS + 1)]
-    lasts = [F.max(F.when(F.col(level) < k, F.col(pos))).over(before) for k in range(1, LEVELS + 1)]
-    pick = lambda cols: F.element_at(F.array(*cols), F.col(level).cast("int"))
+    nexts = [F.min(F.when(F.col(level) <= k, F.col(pos))).over(after) for k in levels]
+    lasts = [F.max(F.when(F.col(level) < k, F.col(pos))).over(before) for k in levels]
+    pick = lambda cols: F.coalesce(*[F.when(F.col(level) == k, c) for k, c in zip(levels, cols, strict=True)], F.lit(None).cast(headings.schema[pos].dataType))
     return headings.withColumns({"end_pos": pick(nexts), "parent_pos": pick(lasts)})
 
 
@@ -132,7 +132,11 @@ def merged_runs(blocks: DataFrame) -> DataFrame:
 
 def reference_lines(lines: Column) -> Column:
     """DC8: the lines after the first reference heading up to the next heading; none without such a heading."""
-    marked = F.transform(lines, lambda x, i: F.when(t.is_reference_heading(x), i))
-    start = F.array_min(marked)
-    nexts = F.array_min(F.transform(lines, lambda x, i: F.when((i > start) & x.rlike(r"^#{1,6} "), i)))
-    return F.when(start.isNull(), F.array().cast("array<string>")).otherwise(F.slice(lines, start + 2, F.coalesce(nexts, F.size(lines)) - start - 1))
+    starts = F.array_min(F.transform(lines, lambda x, i: F.when(t.is_reference_heading(x), i)))
+
+    def after(start: Column) -> Column:  # start is bound once, not worked out again for every line
+        rest = F.slice(lines, start + 2, F.greatest(F.size(lines), F.lit(1)))
+        end = F.array_min(F.transform(rest, lambda x, i: F.when(x.rlike(r"^#{1,6} "), i)))
+        return t.let(end, lambda n: F.slice(rest, 1, F.coalesce(n, F.size(rest))))
+
+    return F.coalesce(t.let(starts, lambda s: F.when(s.isNotNull(), after(s))), F.array().cast("array<string>"))

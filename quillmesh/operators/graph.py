@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.session import settled
+
 SYMMETRIC = ("OVERLAPS_WITH", "DIFFERS_FROM", "CONTRADICTS")
 
 
@@ -178,20 +180,35 @@ def last_numbers(nodes: DataFrame) -> DataFrame:
 
 
 def allocate(batch: DataFrame, last: DataFrame, prefixes: Column) -> DataFrame:
-    """WN3: batch(kind, pos) with new ids, numbered on from each kind's last in the order of pos."""
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("pos")) + F.coalesce("last_number", F.lit(0))
-    return batch.join(last, "kind", "left").select("kind", "pos", F.format_string("%s_%04d", prefixes, n).alias("new_id"))
+    """WN3: batch(kind, pos) with new ids, numbered on from each kind's last in the order of pos.
+
+    Rows are numbered inside sampled ranges of (kind, pos), and ranges by the sums before them, so no kind fills a task.
+    """
+    ranges = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = settled(batch.select("kind", "pos").repartitionByRange(ranges, "kind", "pos").withColumn("range", F.spark_partition_id()))
+    ahead = Window.partitionBy("kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy("kind", "range").agg(F.count(F.lit(1)).alias("n")).select("kind", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    n = F.row_number().over(Window.partitionBy("kind", "range").orderBy("pos")) + F.col("before") + F.coalesce("last_number", F.lit(0))
+    return cut.join(before, ["kind", "range"]).join(last, "kind", "left").select("kind", "pos", F.format_string("%s_%04d", prefixes, n).alias("new_id"))
 
 
-def follow_merges(merged: DataFrame, most: int = 16) -> DataFrame:
-    """AC17: (id, survivor): the end of each chain of merged(id, into), by doubling the step until nothing moves or `most` rounds."""
-    at = merged.select("id", "into")
-    for _ in range(most):
+def follow_merges(merged: DataFrame) -> DataFrame:
+    """AC17: (id, survivor): the end of each chain of merged(id, into), by doubling the step until nothing moves.
+
+    Each round is written, so the plan does not grow. What still moves after more rounds than any chain needs is a circle.
+    """
+    at = settled(merged.select("id", "into"))
+    left = at.count().bit_length() + 2
+    while True:
         nxt = at.select(F.col("id").alias("n"), F.col("into").alias("n_into"))
         moved = at.join(nxt, F.col("into") == F.col("n"), "left").select("id", F.coalesce("n_into", "into").alias("into"), (F.col("n").isNotNull() & (F.col("n_into") != F.col("into"))).alias("moved"))
+        moved = settled(moved)
         at = moved.drop("moved")
         if not moved.filter("moved").take(1):
             break
+        left -= 1
+        if not left:
+            raise ValueError("merges form a circle")
     return at.select("id", F.col("into").alias("survivor"))
 
 

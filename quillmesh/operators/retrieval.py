@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -99,15 +101,20 @@ def _nearest(asked, pool: int):
 def semantic(queries: DataFrame, items: DataFrame, pool: int = POOL) -> DataFrame:
     """RT3: (q, id, score) of the `pool` nearest items(id, embedding) of each of queries(q, embedding), by cosine mapped to [0, 1].
 
-    Exact: every task compares its items with the query block and passes on its own best `pool` of each. The block is
-    bounded; more than MOST_QUERIES queries must come in several calls.
+    Exact: every task compares its items with a block of queries and passes on its own best `pool` of each. More than
+    MOST_QUERIES queries are dealt into blocks of about half as many, each of which passes over the items.
     """
-    rows = queries.limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one block")
-    if not rows:
+    n = queries.count()
+    if not n:
         return queries.select(F.col("q").cast("long"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
-    matrix = np.array([r["embedding"] for r in rows], float)
+    blocks = 1 if n <= MOST_QUERIES else 2 * n // MOST_QUERIES + 1
+    asked = (queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect() for i in range(blocks))
+    return reduce(DataFrame.unionByName, [_block(rows, items, pool) for rows in asked if rows])
+
+
+def _block(rows: list, items: DataFrame, pool: int) -> DataFrame:
+    """The nearest items of one block of queries."""
+    matrix = np.array([r["embedding"] for r in rows], float).reshape(len(rows), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
     local = items.select("id", "embedding").mapInArrow(_nearest(([r["q"] for r in rows], matrix), pool), "q long, id long, score double")
     return top(local, pool)

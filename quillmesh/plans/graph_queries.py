@@ -15,11 +15,11 @@ def _joined(c: str):
 
 
 def _mentions(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select("p_partkey", "p_name", "p_brand")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     return parts.select(F.col("p_partkey").alias("q"), F.col("p_name").alias("mention")).union(parts.select(F.col("p_partkey") + 1_000_000, F.upper("p_name")))
 
 
-_MENTIONS = """, q AS (SELECT p_partkey AS q, p_name AS mention FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT p_partkey + 1000000, upper(p_name) FROM part WHERE p_partkey % 50 = 0)"""
+_MENTIONS = """, q AS (SELECT p_partkey AS q, p_name AS mention FROM part UNION ALL SELECT p_partkey + 1000000, upper(p_name) FROM part)"""
 
 
 def jn1(spark, sf_dir):
@@ -123,13 +123,13 @@ def ac7(spark, sf_dir):
 
 
 def ac8(spark, sf_dir):
-    m = a.methods(spark, sf_dir).filter("name like 'a%' or method_id < 'method_0020'").select(F.col("method_id").alias("id"))
+    m = a.methods(spark, sf_dir).select(F.col("method_id").alias("id"))
     return g.implementations(m, a.edges(spark, sf_dir), a.nodes(spark, sf_dir))
 
 
 def wn3(spark, sf_dir):
     n = a.nodes(spark, sf_dir)
-    batch = table(spark, sf_dir, "events").filter("event_id % 10 = 0").select(F.when(F.col("event_type") == "signup", "Paper").otherwise("Model").alias("kind"), F.col("event_id").alias("pos"))
+    batch = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "signup", "Paper").otherwise("Model").alias("kind"), F.col("event_id").alias("pos"))
     return g.allocate(batch, g.last_numbers(n), F.lower("kind"))
 
 
@@ -180,12 +180,12 @@ QUERIES = {
     "so2_tagged_union": (lambda s, d: _experiments(s, d).groupBy("bucket").agg(F.countDistinct("dataset").alias("n_datasets")), oracle("graph", _EXP + " SELECT bucket, count(DISTINCT dataset) AS n_datasets FROM found GROUP BY bucket")),
     "ac6_context": (ac6, oracle("graph", _context_sql())),
     "ac7_evidence": (ac7, oracle("graph", ", r AS (SELECT id FROM nodes WHERE kind IN ('Dataset', 'Method')), e AS (SELECT DISTINCT src, type, dst FROM edges WHERE type IN ('PART_OF', 'IMPLEMENTS')) SELECT src AS ref, type, 'out' AS direction, dst AS other FROM e WHERE src IN (FROM r) UNION ALL SELECT dst, type, 'in', src FROM e WHERE dst IN (FROM r)")),
-    "ac8_implementations": (ac8, oracle("graph", "SELECT dst AS method, src AS resource, n.kind, n.name, CAST(len(identifiers) AS BIGINT) AS n_identifiers FROM edges JOIN nodes n ON src = n.id JOIN methods m ON dst = method_id WHERE type = 'IMPLEMENTS' AND (m.name LIKE 'a%' OR method_id < 'method_0020')")),
+    "ac8_implementations": (ac8, oracle("graph", "SELECT dst AS method, src AS resource, n.kind, n.name, CAST(len(identifiers) AS BIGINT) AS n_identifiers FROM edges JOIN nodes n ON src = n.id JOIN methods m ON dst = method_id WHERE type = 'IMPLEMENTS'")),
     "ag16_library_status": (lambda s, d: g.library_status(a.nodes(s, d), a.edges(s, d)), oracle("graph", "SELECT 'node' AS what, concat_ws(':', family, kind) AS label, count(*) AS n FROM nodes GROUP BY ROLLUP (family, kind) UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type")),
     "ag17_shared_identifiers": (lambda s, d: g.shared_identifiers(a.nodes(s, d)), oracle("nodes", "SELECT identifier, count(DISTINCT id) AS n_members, min(id) AS first_member, max(id) AS last_member FROM (SELECT id, unnest(identifiers) AS identifier FROM nodes) GROUP BY identifier HAVING count(DISTINCT id) > 1")),
     "ag18_integrity": (lambda s, d: g.integrity(a.nodes(s, d), a.name_keys(s, d), a.edges(s, d)), oracle("graph", "SELECT (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT object_id FROM name_keys)) AS nodes_without_key, (SELECT count(*) FROM name_keys WHERE object_id NOT IN (SELECT id FROM nodes)) AS keys_without_node, (SELECT count(*) FROM (SELECT src AS x FROM edges UNION SELECT dst FROM edges) WHERE x NOT LIKE 'experiment_%' AND x NOT IN (SELECT id FROM nodes)) AS dangling_ends")),
     "ag24_last_number": (lambda s, d: g.last_numbers(a.nodes(s, d)), oracle("nodes", "SELECT kind, max(CAST(regexp_extract(id, '_[a-z]?([0-9]+)$', 1) AS BIGINT)) AS last_number FROM nodes GROUP BY kind")),
-    "wn3_id_allocation": (wn3, oracle("nodes", ", l AS (SELECT kind, max(CAST(regexp_extract(id, '_[a-z]?([0-9]+)$', 1) AS BIGINT)) AS m FROM nodes GROUP BY kind), b AS (SELECT CASE WHEN event_type = 'signup' THEN 'Paper' ELSE 'Model' END AS kind, event_id AS pos FROM events WHERE event_id % 10 = 0) SELECT b.kind, pos, format('{}_{:04d}', lower(b.kind), m + row_number() OVER (PARTITION BY b.kind ORDER BY pos)) AS new_id FROM b JOIN l ON b.kind = l.kind")),
+    "wn3_id_allocation": (wn3, oracle("nodes", ", l AS (SELECT kind, max(CAST(regexp_extract(id, '_[a-z]?([0-9]+)$', 1) AS BIGINT)) AS m FROM nodes GROUP BY kind), b AS (SELECT CASE WHEN event_type = 'signup' THEN 'Paper' ELSE 'Model' END AS kind, event_id AS pos FROM events) SELECT b.kind, pos, format('{}_{:04d}', lower(b.kind), m + row_number() OVER (PARTITION BY b.kind ORDER BY pos)) AS new_id FROM b JOIN l ON b.kind = l.kind")),
     "ac17_merge_chains": (ac17, "SELECT c_custkey AS id, c_custkey - c_custkey % 7 AS survivor FROM customer WHERE c_custkey % 7 <> 0"),
     "ac18_paging": (ac18, oracle("nodes", ", r AS (SELECT id, kind, row_number() OVER (ORDER BY id) AS n FROM nodes WHERE id > 'model_0050') SELECT id, kind, (SELECT count(*) FROM r) > 40 AS more FROM r WHERE n <= 40")),
     "so1_union_distinct": (so1, oracle("edges", "SELECT dst AS id FROM edges WHERE type = 'USES' AND role = 'training_data' UNION SELECT src FROM edges WHERE type = 'PART_OF'")),

@@ -9,7 +9,7 @@ from quillmesh.session import table
 from quillmesh.sources import adapters as a
 from quillmesh.sources.adapters import oracle
 
-_TITLED = """CASE WHEN doc_id % 3 = 0 THEN '“' || coalesce(substr(text, 1, 60), '') || '” – R&D re- view' ELSE substr(text, 1, 80) || ' multi- modal' END"""
+_TITLED = """CASE WHEN doc_id % 3 = 0 THEN '“' || coalesce(text, '') || '” – R&D re- view' ELSE coalesce(text, '') || ' multi- modal' END"""
 
 
 def _titles(spark, sf_dir):
@@ -82,11 +82,11 @@ def st11(spark, sf_dir):
 
 
 def st25(spark, sf_dir):
-    s = F.expr("CASE page_id % 5 WHEN 0 THEN '2501.' || lpad(page_id, 5, '0') || 'v1' WHEN 1 THEN 'https://arxiv.org/pdf/2501.' || lpad(page_id, 5, '0') || 'v3.pdf' WHEN 2 THEN 'cs/9901001v2' WHEN 3 THEN 'https://example.org/abs/2501.00001' ELSE 'https://arxiv.org/abs/2501.' || lpad(page_id, 5, '0') END")
-    return table(spark, sf_dir, "pages").filter("page_id < 100000").select("page_id", t.arxiv_id(s).alias("r")).select("page_id", "r.id", "r.version")
+    s = F.expr("CASE page_id % 5 WHEN 0 THEN '2501.' || lpad(page_id % 100000, 5, '0') || 'v1' WHEN 1 THEN 'https://arxiv.org/pdf/2501.' || lpad(page_id % 100000, 5, '0') || 'v3.pdf' WHEN 2 THEN 'cs/9901001v2' WHEN 3 THEN 'https://example.org/abs/2501.00001' ELSE 'https://arxiv.org/abs/2501.' || lpad(page_id % 100000, 5, '0') END")
+    return table(spark, sf_dir, "pages").select("page_id", t.arxiv_id(s).alias("r")).select("page_id", "r.id", "r.version")
 
 
-_ST25 = """SELECT page_id, CASE page_id % 5 WHEN 2 THEN 'cs/9901001' WHEN 3 THEN NULL ELSE '2501.' || lpad(CAST(page_id AS VARCHAR), 5, '0') END AS id, CASE page_id % 5 WHEN 0 THEN 'v1' WHEN 1 THEN 'v3' WHEN 2 THEN 'v2' END AS version FROM pages WHERE page_id < 100000"""
+_ST25 = """SELECT page_id, CASE page_id % 5 WHEN 2 THEN 'cs/9901001' WHEN 3 THEN NULL ELSE '2501.' || lpad(CAST(page_id % 100000 AS VARCHAR), 5, '0') END AS id, CASE page_id % 5 WHEN 0 THEN 'v1' WHEN 1 THEN 'v3' WHEN 2 THEN 'v2' END AS version FROM pages"""
 
 
 def st34(spark, sf_dir):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,16 @@ def get_session(app: str = "quillmesh", cpus: str | int | None = None, **conf: s
     return spark
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder that driver and executors share, without its lineage; it survives lost executors."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)  # all tasks run in the driver, as in tests
+        spark.sparkContext.setCheckpointDir(shared or (tempfile.mkdtemp(prefix="spark-checkpoint-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -51,7 +51,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"), role.alias("role"), version.alias("version"))
 
     t = {n: table(spark, sf_dir, n) for n in ("part", "supplier", "nation", "customer", "orders", "lineitem")}
-    named = t["part"].join(F.broadcast(methods(spark, sf_dir)), F.col("p_name") == F.col("name"))  # 64 names
+    named = t["part"].join(methods(spark, sf_dir), F.col("p_name") == F.col("name"))  # broadcast by Spark while it is small
     items = t["lineitem"].join(named.select("p_partkey", "method_id"), F.col("l_partkey") == F.col("p_partkey"))
     of = lambda prefix, key: F.concat(F.lit(prefix), key)
     exp, year = of("experiment_", "l_orderkey"), F.year("l_shipdate").cast("string")
