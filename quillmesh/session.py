@@ -30,13 +30,21 @@ def get_session(app: str = "quillmesh", cpus: str | int | None = None, **conf: s
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse, or a temporary one if all tasks run in the driver (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that driver and executors share, without its lineage; it survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)  # all tasks run in the driver, as in tests
-        spark.sparkContext.setCheckpointDir(shared or (tempfile.mkdtemp(prefix="spark-checkpoint-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"))
+    """df written to the shared folder, without its lineage; it survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
