@@ -173,7 +173,8 @@ def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
     text = F.col("row.text")
     count = F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long")
     others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return joined.select(*others, _kept(text, F.col("lost")).alias("text"), count.alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_removed"))
+    done = joined.select("row", _kept(text, F.col("lost")).alias("left_text"), count.alias("count"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("gone"))
+    return done.select(*others, F.col("left_text").alias("text"), F.col("count").alias("n_lines"), F.col("gone").alias("n_removed"))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
