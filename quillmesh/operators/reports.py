@@ -199,3 +199,70 @@ def appended(base: Column, more: Column) -> Column:
     """SO6: base followed by the values of more that it lacks, each once."""
     none = F.array().cast("array<string>")
     return F.concat(F.coalesce(base, none), F.array_except(F.coalesce(more, none), F.coalesce(base, none)))
+
+
+def semantic_update(base: Column, update: Column, allowed: list[str]) -> tuple[Column, Column]:
+    """JN26: base with the allowed fields of update, and the sorted names of the fields of update that were rejected."""
+    return merged_fields(base, update, allowed), F.array_sort(F.filter(F.map_keys(update), lambda k: ~k.isin(*allowed)))
+
+
+def resolved_assets(wanted: DataFrame, files: DataFrame, folders: list[str], endings: list[str]) -> DataFrame:
+    """JN24: wanted(paper, name) with path: the first of folders x endings that exists among files(paper, path), else the only file of that base name."""
+    tried = F.array(*[F.struct(F.lit(i).alias("place"), F.concat(F.lit(f), "name", F.lit(e)).alias("path")) for i, (f, e) in enumerate((f, e) for f in folders for e in endings)])
+    direct = wanted.select("paper", "name", F.explode(tried).alias("t")).select("paper", "name", "t.*").join(files.select("paper", "path"), ["paper", "path"]).groupBy("paper", "name").agg(F.min(F.struct("place", "path")).alias("d"))
+    base = files.groupBy("paper", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("only")).filter("n = 1")
+    return wanted.join(direct, ["paper", "name"], "left").join(base, ["paper", "name"], "left").select("paper", "name", F.coalesce("d.path", "only").alias("path"))
+
+
+def resolved_entries(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """JN29: (entry, id, by): by s2, else arxiv, else doi, else a title that is equal loosely; a title found under other words is a mismatch."""
+    out = entries
+    for k in ("s2", "arxiv", "doi"):
+        out = out.join(known.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("id").alias(f"by_{k}")), k, "left")
+    titles = known.select(t.loose(F.col("title")).alias("loose"), "id").filter("loose <> ''").groupBy("loose").agg(F.min("id").alias("by_title"))
+    out = out.withColumn("loose", t.loose(F.col("title"))).join(titles, "loose", "left")
+    found = [F.col(f"by_{k}") for k in ("s2", "arxiv", "doi", "title")]
+    by = F.coalesce(*[F.when(c.isNotNull(), F.lit(k)) for c, k in zip(found, ("s2", "arxiv", "doi", "title"), strict=True)], F.lit("mismatch"))
+    return out.select("entry", F.coalesce(*found).alias("id"), by.alias("by"))
+
+
+def selected_sources(bindings: DataFrame, budget: int) -> DataFrame:
+    """AC9: each (material, version, location) of a request once with all its targets, in order of priority, selected while the running size stays within the budget."""
+    once = bindings.groupBy("request", "material", "version", "location").agg(F.min("priority").alias("priority"), F.max("size").alias("size"), F.array_sort(F.collect_set("target")).alias("targets"))
+    upto = Window.partitionBy("request").orderBy("priority", "material", "version", "location").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return once.withColumn("state", F.when(F.sum("size").over(upto) <= budget, "selected").otherwise("over-budget"))
+
+
+def interleaved(segments: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """WN11: the segments of each key joined in the order of their blocks."""
+    return segments.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ").alias("caption"))
+
+
+def numbered_block(items: Column, most: int, chars: int) -> Column:
+    """ST39: the first `most` items as numbered lines of a prompt, each cut to `chars` characters."""
+    return F.array_join(F.transform(F.slice(items, 1, most), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(x, 1, chars))), "\n")
+
+
+def repaired_references(candidates: Column) -> Column:
+    """WN5: (entries, joined): lines of a list of references folded into entries.
+
+    A new entry begins where what is gathered looks complete and the line looks like a start; other lines are joined to it,
+    which counts if it looked incomplete. Entries that repeat stay at their first place.
+    """
+    lines = F.filter(F.transform(candidates, t.plain_text), lambda x: x != "")
+    empty = F.struct(F.array().cast("array<string>").alias("entries"), F.lit("").alias("current"), F.lit(0).alias("joined"))
+
+    def step(acc: Column, line: Column) -> Column:
+        done, first = t.looks_complete(acc["current"]), acc["current"] == ""
+        fresh = done & (t.looks_like_start(line) | t.looks_like_authors(line)) & ~first
+        return F.struct(
+            F.when(fresh, F.array_append(acc["entries"], F.trim(acc["current"]))).otherwise(acc["entries"]).alias("entries"),
+            F.when(fresh | first, line).otherwise(t.join_fragments(acc["current"], line)).alias("current"),
+            (acc["joined"] + F.when(~first & ~fresh & ~done, 1).otherwise(0)).alias("joined"),
+        )
+
+    def end(acc: Column) -> Column:
+        whole = F.when(acc["current"] != "", F.array_append(acc["entries"], F.trim(acc["current"]))).otherwise(acc["entries"])
+        return F.struct(F.array_distinct(whole).alias("entries"), acc["joined"].alias("joined"))
+
+    return F.aggregate(lines, empty, step, end)

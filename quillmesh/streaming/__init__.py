@@ -1 +1 @@
-
+"""Structured Streaming entry points."""
