@@ -209,6 +209,8 @@ def follow_merges(merged: DataFrame) -> DataFrame:
         left -= 1
         if not left:
             raise ValueError("merges form a circle")
+    if at.filter(F.col("id") == F.col("into")).take(1):  # circles of 2, 4, 8 ... end at themselves
+        raise ValueError("merges form a circle")
     return at.select("id", F.col("into").alias("survivor"))
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions import html_text as ht
 from quillmesh.functions import json_text as js
 from quillmesh.operators import reports as p
 from quillmesh.plans.report_queries import _rows
@@ -114,3 +115,19 @@ QUERIES = {
     "sk4_stream_latest": (stream_latest, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "sk6_stream_windows": (stream_windows, "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"),
 }
+
+
+def dc2(spark, sf_dir):
+    found = ht.html_to_markdown(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("markdown")).select("page_id", F.char_length("markdown").cast("long").alias("chars"), F.md5("markdown").alias("md5"))
+
+
+def dc1(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", ht.html_sections(F.col("html")).alias("p"))
+    return found.select("page_id", "p.title", F.size("p.sections").cast("long").alias("n_sections"), F.get("p.sections", 0)["title"].alias("first"))
+
+
+# no SQL reads tag soup; tests/test_edges.py has golden cases. The titles of the driver's pages have no markup.
+QUERIES["dc2_html_to_markdown"] = (dc2, None)
+QUERIES["dc1_html_sections"] = (dc1, None)
+QUERIES["dc1_page_titles"] = (lambda s, d: dc1(s, d).select("page_id", "title"), "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g')) AS title FROM pages")
