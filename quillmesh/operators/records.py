@@ -83,3 +83,18 @@ def agreement(pairs: DataFrame, ours: str, theirs: str) -> DataFrame:
     """AG12: one row: pairs, those that have ours, those that agree, and recall to three places; null without pairs."""
     n, matched = F.count(F.lit(1)), F.count(ours)
     return pairs.agg(n.alias("n"), matched.alias("matched"), F.count_if(F.col(ours) == F.col(theirs)).alias("agree"), F.round(matched / F.nullif(n, F.lit(0)), 3).alias("recall"))
+
+
+def comparable_pairs(rows: DataFrame, group: str, item: str, conditions: dict[str, Column], value: str) -> DataFrame:
+    """AC13: (group, a, b, comparable, difference) of two results of one request: any condition that differs makes them
+    incomparable, all equal make them comparable, otherwise it is unknown; only comparable values are subtracted.
+
+    conditions name columns of rows; `version` follows same_version. Pairs stay within a request, whose results are few.
+    """
+    plain = rows.select(group, item, value, *[c.alias(f"c_{name}") for name, c in conditions.items()])
+    left, right = (plain.select(group, *[F.col(c).alias(f"{side}_{c}") for c in plain.columns if c != group]) for side in "ab")
+    met = left.join(right, group).filter(F.col(f"a_{item}") < F.col(f"b_{item}"))
+    one = lambda name: same_version(F.col(f"a_c_{name}"), F.col(f"b_c_{name}")) if name == "version" else F.col(f"a_c_{name}") == F.col(f"b_c_{name}")
+    verdict = reduce(lambda x, y: x & y, [one(name) for name in conditions])  # three-valued: false wins, then unknown
+    pairs = met.withColumn("comparable", verdict)
+    return pairs.select(group, F.col(f"a_{item}").alias("a"), F.col(f"b_{item}").alias("b"), "comparable", F.when(F.col("comparable"), F.col(f"a_{value}") - F.col(f"b_{value}")).alias("difference"))

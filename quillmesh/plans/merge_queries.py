@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import html_text as ht
 from quillmesh.functions import json_text as js
+from quillmesh.operators import records
 from quillmesh.operators import reports as p
 from quillmesh.plans.report_queries import _rows
 from quillmesh.session import shared_folder, table
 from quillmesh.sources import adapters as a
+from quillmesh.sources import files
 from quillmesh.sources.adapters import oracle
 from quillmesh.streaming import states
 
@@ -131,3 +133,32 @@ def dc1(spark, sf_dir):
 QUERIES["dc2_html_to_markdown"] = (dc2, None)
 QUERIES["dc1_html_sections"] = (dc1, None)
 QUERIES["dc1_page_titles"] = (lambda s, d: dc1(s, d).select("page_id", "title"), "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g')) AS title FROM pages")
+
+
+_RESULTS = ("l_orderkey AS request", "l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS item", "CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('V', l_suppkey % 2) ELSE concat('v', l_suppkey % 2) END AS version", "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS unit", "l_quantity AS value")
+
+
+def ac13(spark, sf_dir):
+    return records.comparable_pairs(_rows("lineitem", *_RESULTS)(spark, sf_dir), "request", "item", {"version": F.col("version"), "unit": F.col("unit")}, "value")
+
+
+_AC13 = f"""WITH r AS (SELECT {', '.join(_RESULTS)} FROM lineitem), j AS (SELECT a.request, a.item AS a, b.item AS b, a.value - b.value AS d, CASE WHEN lower(a.version) = lower(b.version) THEN true END AND a.unit = b.unit AS comparable FROM r a JOIN r b ON a.request = b.request AND a.item < b.item)
+SELECT request, a, b, comparable, CASE WHEN comparable THEN d END AS difference FROM j"""
+
+
+def sc8(spark, sf_dir):
+    path = f"{shared_folder(spark)}/xml-{uuid.uuid4().hex}"
+    paper = F.expr("concat('<paper id=\"', c_custkey, '\"><title>', c_name, ' &amp; more</title>', CASE WHEN c_custkey % 2 = 0 THEN concat('<author>A', c_custkey, '</author><author>B</author>') ELSE '' END, '</paper>')")
+    table(spark, sf_dir, "customer").select(paper.alias("value")).write.text(path)
+    found = files.read_xml_lines(spark, path, "_id bigint, title string, author array<string>")
+    return found.select(F.col("_id").alias("id"), "title", F.array_join(F.coalesce("author", F.array().cast("array<string>")), ",").alias("authors"))
+
+
+def sc11(spark, sf_dir):
+    pages = _rows("customer", "c_custkey div 4 AS paper", "(c_custkey % 4) * 2 AS start", "CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE array(c_name, concat('x', c_custkey)) END AS data")(spark, sf_dir)
+    return files.paged(pages, "paper", "start", "data")
+
+
+QUERIES["ac13_comparable_pairs"] = (ac13, _AC13)
+QUERIES["sc8_xml_source"] = (sc8, "SELECT CAST(c_custkey AS BIGINT) AS id, c_name || ' & more' AS title, CASE WHEN c_custkey % 2 = 0 THEN 'A' || c_custkey || ',B' ELSE '' END AS authors FROM customer")
+QUERIES["sc11_paged_references"] = (sc11, "SELECT c_custkey // 4 AS paper, CAST((c_custkey % 4) * 2 AS BIGINT) AS place, c_name AS item FROM customer WHERE c_custkey % 4 <> 3 UNION ALL SELECT c_custkey // 4, CAST((c_custkey % 4) * 2 + 1 AS BIGINT), 'x' || c_custkey FROM customer WHERE c_custkey % 4 <> 3")

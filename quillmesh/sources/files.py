@@ -38,3 +38,15 @@ def dotted(json: Column, path: str) -> Column:
 def truncated(values: Column, cap: int = 1000) -> Column:
     """SC13: whether a nested list has reached the cap of the response it came in."""
     return F.coalesce(F.size(values) >= cap, F.lit(False))
+
+
+def read_xml_lines(spark: SparkSession, path: str, schema) -> DataFrame:
+    """SC8: the XML elements of files with one a line; attributes have names that begin with _, a malformed element is an error when it is read."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_xml("value", schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+
+
+def paged(pages: DataFrame, key: str, offset: str, items: str) -> DataFrame:
+    """SC11: (key, place, item) of lists that came in pages, places counted from 0 over all pages of a key; null pages have none."""
+    rows = pages.select(key, F.col(offset).alias("__o"), F.posexplode(F.coalesce(F.col(items), F.array().cast("array<string>"))).alias("pos", "item"))
+    return rows.select(key, (F.col("__o") + F.col("pos")).cast("long").alias("place"), "item")
