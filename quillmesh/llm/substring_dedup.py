@@ -6,10 +6,11 @@ counters, sent as the cells in use), the sketches are merged cell by cell on the
 more", is broadcast. Its size follows the corpus up to `most_bits`, a fixed bound; beyond, the sketch lets more through and
 the result stays the same. An anchor's estimate is never below the count of any window that holds it.
 
-Second pass. Windows whose anchor is estimated repeated are grouped exactly by anchor, place in it and a 64-bit hash of
-all their words. Each task settles repeats among its own documents first and sends one record for each distinct window,
-so a passage that stands in a third of the corpus reaches its group once a task. Positions of repeated windows go back to
-their documents.
+Second pass. Windows whose anchor is estimated repeated are grouped exactly by anchor and a 64-bit hash of all their words.
+Each task settles repeats among its own documents first and sends one record for each distinct window, so a passage that
+stands in a third of the corpus reaches its group once a task. A passage shorter than a window, between ever different
+neighbours, gives one anchor to many distinct windows; a group that is larger for it than `group_bytes` is dealt again by
+the hash of the whole window, by which equal windows still meet. Positions of repeated windows go back to their documents.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import WordHashes, chunks, join_rows, mix64, rolled, rows_of, sliding
+from quillmesh.llm.common import WordHashes, chunks, join_rows, materialize, mix64, rolled, rows_of, sliding, small_side
 
 SLICES = 64
 ROWS = 2
 MOST_BITS = 1 << 29  # of one row of the sketch: 64 MB each
+#: Window hashes of one group, in bytes, beyond which the group is dealt again: two million windows.
+GROUP_BYTES = 16_000_000
+#: Groups to deal again, 20 bytes each, are broadcast up to so many.
+BROADCAST_GROUPS = 1_000_000
 
 
 def _anchors(x: np.ndarray, lens: np.ndarray, window: int):
@@ -201,6 +206,43 @@ def _marks(window: int, bits: int, buckets: int, sketch):
     return run
 
 
+def _dealt(batches):
+    """Rows of large groups cut by the hashes of their windows: equal windows get equal parts."""
+    for batch in batches:
+        cols = {n: batch.column(n) for n in (*MARK.names, "parts")}
+        for i in range(batch.num_rows):
+            ids = cols["ids"][i].as_py()
+            keys, runs, prints = (np.frombuffer(cols[n][i].as_buffer(), t) for n, t in (("keys", "<i8"), ("runs", RUN), ("prints", "<u8")))
+            n = runs["len"]
+            each = np.repeat(runs, n)
+            each["start"] += (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            each["len"] = 1
+            part = (mix64(prints) % np.uint64(cols["parts"][i].as_py())).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            out = {n: [] for n in (*MARK.names, "part")}
+            for first, size in zip(*_as_runs(np.diff(part[order], prepend=-1) != 0), strict=True):
+                own = order[first : first + size]
+                r = each[own]
+                docs, r["doc"] = np.unique(r["doc"], return_inverse=True)
+                out["bucket"].append(cols["bucket"][i].as_py())
+                out["ids"].append([ids[d] for d in docs])
+                out["keys"].append(keys[docs].tobytes())
+                out["runs"].append(r.tobytes())
+                out["prints"].append(prints[own].tobytes())
+                out["part"].append(int(part[own[0]]))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if n == "part" else MARK.field(n).type) for n, v in out.items()], list(out))
+
+
+def bounded_groups(marks: DataFrame, group_bytes: int) -> DataFrame:
+    """marks with the column part; groups of more than group_bytes of window hashes are dealt into parts of about that many."""
+    size = F.sum(F.octet_length("prints"))
+    large = marks.groupBy("bucket").agg(F.ceil(size / group_bytes).cast("long").alias("parts")).filter("bucket >= 0 and parts > 1")
+    large = small_side(materialize(large, "large"), BROADCAST_GROUPS)
+    light = marks.join(large, "bucket", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    heavy = marks.join(large, "bucket").mapInArrow(_dealt, "bucket long, ids array<bigint>, keys binary, runs binary, prints binary, part long")
+    return light.unionByName(heavy)
+
+
 REPLY = pa.schema([("doc_id", pa.int64()), ("__k", pa.int64()), ("start", pa.int32()), ("len", pa.int32())])
 
 
@@ -247,7 +289,7 @@ def _settle(table: pa.Table) -> pa.Table:
     return _reply(doc[at], start[at], n, ids, keys)
 
 
-def repeated_runs(docs: DataFrame, window: int = 35, most_bits: int = MOST_BITS) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = 35, most_bits: int = MOST_BITS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, __k, start, len): at start and at the next len - 1 words of the document begin windows that occur twice or more."""
     spark = docs.sparkSession
     texts = rows_of(docs, "text").withColumn("text", F.col("text").cast("binary"))
@@ -258,7 +300,7 @@ def repeated_runs(docs: DataFrame, window: int = 35, most_bits: int = MOST_BITS)
     sketch = spark.sparkContext.broadcast(repeated_bits(texts.select("text"), window, bits))
     buckets = max(16, words // 400_000)
     marks = texts.mapInArrow(_marks(window, bits, buckets, sketch), "bucket long, ids array<bigint>, keys binary, runs binary, prints binary")
-    return marks.groupBy("bucket").applyInArrow(_settle, "doc_id long, __k long, start int, len int")
+    return bounded_groups(materialize(marks, "marks"), group_bytes).groupBy("bucket", "part").applyInArrow(_settle, "doc_id long, __k long, start int, len int")
 
 
 def _cut(window: int):
@@ -282,7 +324,7 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, most_bits: int = MOST_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, most_bits: int = MOST_BITS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words left joined by single spaces.
 
     Words are runs of other than ASCII white space. Each word covered by a window of `window` words that also starts
@@ -290,7 +332,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, most_bits: int = MOST_BITS
     no words; a text shorter than the window loses none. Rows repeated exactly are occurrences like any other, so their
     windows go from each of them; rows with a null doc_id take part. Columns besides doc_id and text are ignored.
     """
-    runs = repeated_runs(docs, window, most_bits).groupBy("doc_id", "__k").agg(F.collect_list(F.struct("start", "len")).alias("runs"))
+    runs = repeated_runs(docs, window, most_bits, group_bytes).groupBy("doc_id", "__k").agg(F.collect_list(F.struct("start", "len")).alias("runs"))
     texts = rows_of(docs, "text").withColumn("text", F.col("text").cast("binary"))
     return join_rows(texts, runs, "left").select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 

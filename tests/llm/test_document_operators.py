@@ -68,6 +68,23 @@ def test_substring_dedup_with_a_crowded_sketch(spark, window, bits):
     assert got == {i: w[:2] for i, w in enumerate(want)}
 
 
+@pytest.mark.parametrize("group_bytes", [8, 800])
+def test_substring_dedup_of_a_passage_between_other_neighbours(spark, group_bytes):
+    """One anchor for many distinct windows: their group is dealt again, without losing a repeat."""
+    from quillmesh.llm import substring_dedup as m
+
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    footer, whole = words(30), words(45)
+    texts = [f"{words(40)} {footer} {words(40)}" + (f" {whole} {words(5)}" if i % 7 == 0 else "") for i in range(120)]
+    texts += [texts[3], texts[3], "", None]
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]).repartition(5)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in m.remove_repeats(docs, group_bytes=group_bytes).collect()}
+    want = {i: w[:2] for i, w in enumerate(m.brute_force(texts))}
+    assert got == want
+    assert sum(n for _, n in want.values()) > 18 * 45
+
+
 def fingerprint(text):
     import xxhash
 
