@@ -317,3 +317,30 @@ def box_overlap(a: tuple, b: tuple) -> Column:
     """MA1: the part of box a that lies in box b."""
     inner = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     return F.when(box_area(*a) > 0, inner / box_area(*a)).otherwise(0.0)
+
+
+def box_gap(a: tuple, b: tuple) -> Column:
+    """MA1: the distance of two boxes; 0 where they touch or overlap."""
+    apart = lambda i: F.greatest(a[i] - b[i + 2], b[i] - a[i + 2], F.lit(0.0))
+    return F.hypot(apart(0), apart(1))
+
+
+def box_centre_distance(a: tuple, b: tuple) -> Column:
+    return F.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
+
+
+def relative_box(inner: tuple, outer: tuple) -> Column:
+    """MA1: the corners of a box as shares of another, within 0 and 1, to three places."""
+    size = [F.coalesce(F.nullif(outer[i + 2] - outer[i], F.lit(0.0)), F.lit(1.0)) for i in (0, 1)]
+    return F.array(*[F.round(F.least(F.greatest((c - outer[i % 2]) / size[i % 2], F.lit(0.0)), F.lit(1.0)), 3) for i, c in enumerate(inner)])
+
+
+def resource_id(kind: Column, name: Column) -> Column:
+    """ST21: kind and slug; names without letters and digits are unknown."""
+    return F.concat(kind, F.lit("::"), F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("unknown")))
+
+
+def anthology_id(collection: Column, volume: Column, item: Column) -> Column:
+    """ST21: C-V and the number of three digits in collections such as P19, otherwise C-V.number."""
+    old = F.concat(collection, F.lit("-"), volume, F.format_string("%03d", item.try_cast("int")))
+    return F.when(collection.rlike("^[A-Z][0-9]{2}$"), old).otherwise(F.concat(collection, F.lit("-"), volume, F.lit("."), item))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 
-MODULES = ("graph_queries", "text_queries", "retrieval_queries", "bibliography_queries", "report_queries", "commit_queries", "merge_queries", "anchor_queries", "candidate_queries", "paper_queries")
+MODULES = ("graph_queries", "text_queries", "retrieval_queries", "bibliography_queries", "report_queries", "commit_queries", "merge_queries", "anchor_queries", "candidate_queries", "paper_queries", "package_queries")
 
 
 def modules() -> list:
