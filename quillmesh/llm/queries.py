@@ -6,27 +6,34 @@ from importlib import import_module
 
 from quillmesh.session import table
 
-#: query name -> (module, function, further tables after documents)
+#: query name -> (module, function, tables)
 _QUERIES = {
-    "op1_decontaminate": ("decontaminate", "decontamination_digest", ("benchmark",)),
-    "op2_line_dedup": ("line_dedup", "line_dedup_digest", ()),
-    "op3_quality_gam": ("quality_gam", "quality_scores", ("labels",)),
-    "op4_substring_dedup": ("substring_dedup", "substring_dedup_digest", ()),
-    "op5_quality_rules": ("quality_rules", "quality_rules_digest", ()),
-    "op6_language_id": ("language_id", "language_digest", ()),
-    "op7_simhash_dedup": ("simhash", "simhash_digest", ()),
-    "op8_toxicity": ("toxicity", "toxicity_scores", ("labels",)),
-    "op9_mix_sources": ("mixing", "mix_digest", ()),
-    "op10_license_scan": ("licenses", "license_digest", ()),
+    "op1_decontaminate": ("decontaminate", "decontamination_digest", ("documents", "benchmark")),
+    "op2_line_dedup": ("line_dedup", "line_dedup_digest", ("documents",)),
+    "op3_quality_gam": ("quality_gam", "quality_scores", ("documents", "labels")),
+    "op4_substring_dedup": ("substring_dedup", "substring_dedup_digest", ("documents",)),
+    "op5_quality_rules": ("quality_rules", "quality_rules_digest", ("documents",)),
+    "op6_language_id": ("language_id", "language_digest", ("documents",)),
+    "op7_simhash_dedup": ("simhash", "simhash_digest", ("documents",)),
+    "op8_toxicity": ("toxicity", "toxicity_scores", ("documents", "labels")),
+    "op9_mix_sources": ("mixing", "mix_digest", ("documents",)),
+    "op10_license_scan": ("licenses", "license_digest", ("documents",)),
+    "op11_sharding": ("sharding", "shard_digest", ("documents",)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: query name -> (module, function that gives the SQL)
+_SQL = {
+    "op11_sharding": ("sharding", "shard_sql"),
+}
+
+
+def _named(module: str, function: str):
+    return getattr(import_module(f"quillmesh.llm.{module}"), function)
 
 
-def _query(module: str, function: str, more: tuple[str, ...]):
+def _query(module: str, function: str, tables: tuple[str, ...]):
     def run(spark, sf_dir):
-        operator = getattr(import_module(f"quillmesh.llm.{module}"), function)
-        return operator(table(spark, sf_dir, "documents"), *[table(spark, sf_dir, t) for t in more])
+        return _named(module, function)(*[table(spark, sf_dir, t) for t in tables])
 
     return run
 
@@ -36,4 +43,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return {name: _named(*spec)() for name, spec in _SQL.items()}
