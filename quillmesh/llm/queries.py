@@ -19,11 +19,13 @@ _QUERIES = {
     "op9_mix_sources": ("mixing", "mix_digest", ("documents",)),
     "op10_license_scan": ("licenses", "license_digest", ("documents",)),
     "op11_sharding": ("sharding", "shard_digest", ("documents",)),
+    "op12_vector_codes": ("vector_codes", "vector_codes_digest", ("embeddings",)),
 }
 
 #: query name -> (module, function that gives the SQL)
 _SQL = {
     "op11_sharding": ("sharding", "shard_sql"),
+    "op12_vector_codes": ("vector_codes", "vector_codes_sql"),
 }
 
 
