@@ -20,12 +20,14 @@ _QUERIES = {
     "op10_license_scan": ("licenses", "license_digest", ("documents",)),
     "op11_sharding": ("sharding", "shard_digest", ("documents",)),
     "op12_vector_codes": ("vector_codes", "vector_codes_digest", ("embeddings",)),
+    "op13_spelling": ("spelling", "spelling_digest", ("documents",)),
 }
 
 #: query name -> (module, function that gives the SQL)
 _SQL = {
     "op11_sharding": ("sharding", "shard_sql"),
     "op12_vector_codes": ("vector_codes", "vector_codes_sql"),
+    "op13_spelling": ("spelling", "spelling_sql"),
 }
 
 
