@@ -87,6 +87,20 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n"
     return left.join(heavy, keys).unionByName(rest)
 
 
+def spread_left_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """All rows of left with the columns of right, null where it lacks their key; heavy keys are dealt with as in spread_join.
+
+    n is about how many rows of left have the key. left is read a second time only if some key is heavy.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(HEAVY, total // HEAVY)
+    heavy = right.filter(hot).drop(n)  # fewer than HEAVY rows
+    if not heavy.take(1):
+        return left.join(right.drop(n), keys, "left")
+    rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.filter(~hot).drop(n), keys, "left")
+    return left.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows: the size check before a broadcast."""
     return len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows

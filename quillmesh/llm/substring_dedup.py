@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import WordHashes, chunks, join_rows, materialize, mix64, rolled, rows_of, sliding, small_side
+from quillmesh.llm.common import WordHashes, chunks, materialize, mix64, rolled, rows_of, sliding, small_side, spread_left_join
 
 SLICES = 64
 ROWS = 2
@@ -330,11 +330,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, most_bits: int = MOST_BITS
     Words are runs of other than ASCII white space. Each word covered by a window of `window` words that also starts
     anywhere else, in the same document or another, is removed; windows are judged on the input. A null or empty text has
     no words; a text shorter than the window loses none. Rows repeated exactly are occurrences like any other, so their
-    windows go from each of them; rows with a null doc_id take part. Columns besides doc_id and text are ignored.
+    windows go from each of them: their runs are gathered once, and rows repeated very often meet them in a broadcast. Rows
+    with a null doc_id take part. Columns besides doc_id and text are ignored.
     """
-    runs = repeated_runs(docs, window, most_bits, group_bytes).groupBy("doc_id", "__k").agg(F.collect_list(F.struct("start", "len")).alias("runs"))
-    texts = rows_of(docs, "text").withColumn("text", F.col("text").cast("binary"))
-    return join_rows(texts, runs, "left").select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    whole = F.coalesce("doc_id", F.lit(-1)).alias("__d")  # __k tells a null doc_id from -1
+    each = repeated_runs(docs, window, most_bits, group_bytes).groupBy(whole, "__k", "start", "len").agg(F.count(F.lit(1)).alias("copies"))
+    runs = materialize(each.groupBy("__d", "__k").agg(F.collect_list(F.struct("start", "len")).alias("runs"), F.max("copies").alias("n")), "runs")
+    texts = rows_of(docs, "text").select("doc_id", whole, "__k", F.col("text").cast("binary").alias("text"))
+    return spread_left_join(texts, runs, ["__d", "__k"]).select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 
 def substring_dedup_digest(docs: DataFrame) -> DataFrame:

@@ -138,3 +138,27 @@ def test_bloom_filters_agree_with_exact_sets():
         share = [np.isin(gram, s).mean() for s in sets]
         lang, score = m.predict(text)
         assert lang == "abcde"[int(np.argmax(share))] and abs(score - max(share)) < 0.02
+
+
+def test_substring_dedup_of_rows_repeated_very_often(spark):
+    """Equal rows take about the time of distinct ones: their windows are gathered once, not once a copy."""
+    import time
+
+    from quillmesh.llm.substring_dedup import brute_force, substring_dedup_digest
+
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    same, others = words(120), [words(90) for _ in range(30)]
+    others += [others[0], f"{others[1]} {words(20)}", same + " " + words(40), None, ""]
+    few = spark.createDataFrame([(i, t) for i, t in enumerate(others)], "doc_id long, text string")
+    took = {}
+    for name, ids in (("distinct", F.col("id") + 1000), ("equal", F.lit(1000))):
+        text = F.lit(same) if name == "equal" else F.concat(F.lit(same), F.lit(" "), F.col("id").cast("string"))
+        d = few.union(spark.range(20_000).select(ids.cast("long"), text)).repartition(4)
+        start = time.perf_counter()
+        got = Counter(map(tuple, substring_dedup_digest(d).collect()))
+        took[name] = time.perf_counter() - start
+    want = Counter((i, *w) for i, w in enumerate(brute_force([*others, same, same])[:-2]))
+    want[(1000, *brute_force([same, same])[0])] = 20_000
+    assert got == want
+    assert took["equal"] < 3 * took["distinct"] + 10
