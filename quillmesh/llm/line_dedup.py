@@ -1,10 +1,14 @@
-"""Line dedup: documents that share runs of lines are aligned by patience diff, and common blocks leave the later one.
-
-A run is as few neighbouring lines as have `block_words` words together, counted from its first line or from its last.
-Every line of a common block lies in a run inside the block, so it is enough to lead each run from every later document
-to the earliest that has it: pairs grow with the repeated runs, not with the square of a group. Pairs are aligned by the
-hashes of their stripped lines; a common run that the alignment misses (moved blocks, lines that stand more than once) is
-looked up by its hash. The earliest document with a run is never after the one that loses it, so one copy of every line stays.
+"""Line dedup: documents that share rare lines are aligned by patience diff, and aligned common blocks leave the later one.
+
+Lines too short to tell anything are hashed together with their neighbours: a run is as few neighbouring lines as have
+`block_words` words together, counted from its first line or from its last, so a long line is a run of its own. Each line
+of a document is led by the rarest shared run that it stands in, the one that fewest documents have, to the earliest
+document with that run: a line has one partner, and pairs grow with the repeated lines, not with the square of a group. A pair
+is aligned by the hashes of its stripped lines, rare ones first: lines unique in both, in their longest common order, then
+what lies between them in the same way, and where no line is unique, by its how-manieth occurrence. Neighbouring lines
+aligned with neighbouring lines are a block, and one of `block_words` words or more leaves the later document. Blocks that
+stand in another order in the two documents are not aligned; with `moved` their runs are looked up as well. The earliest
+document with a run is never after the one that loses it, so one copy of every line stays.
 """
 
 from __future__ import annotations
@@ -49,8 +53,18 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _numbered(lines: list[int], lo: int, hi: int) -> dict[tuple[int, int], int]:
+    """(line, its how-manieth occurrence in lines[lo:hi]), with its place."""
+    seen: dict[int, int] = {}
+    at = {}
+    for i in range(lo, hi):
+        seen[lines[i]] = nth = seen.get(lines[i], 0) + 1
+        at[lines[i], nth] = i
+    return at
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Matched places of a and b: common heads and tails, then lines unique in both, then what lies between these."""
+    """Matched places of a and b: common heads and tails, then lines unique in both, then what lies between these; lines that all repeat meet by their occurrences."""
     found, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, i2, j, j2 = todo.pop()
@@ -64,6 +78,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         ours, theirs = _unique(a, i, i2), _unique(b, j, j2)
         pairs = _rising([(p, theirs[x]) for x, p in ours.items() if x in theirs])
+        if not pairs:
+            ours, theirs = _numbered(a, i, i2), _numbered(b, j, j2)
+            pairs = _rising([(p, theirs[x]) for x, p in ours.items() if x in theirs])
         for (p, q), (p2, q2) in zip([(i - 1, j - 1), *pairs], [*pairs, (i2, j2)], strict=True):
             if p >= i:
                 found.append((p, q))
@@ -88,8 +105,8 @@ def line_runs(lines, words, block_words: int) -> tuple[np.ndarray, np.ndarray, n
     return first, last, mix64((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
 
 
-def common_blocks(later: list[int], words: list[int], earlier: list[int], block_words: int) -> list[int]:
-    """Places of later in blocks of neighbouring lines with block_words words or more that stand in earlier as well."""
+def common_blocks(later: list[int], words: list[int], earlier: list[int], block_words: int, moved: bool = False) -> list[int]:
+    """Places of later in aligned blocks of neighbouring lines with block_words words or more; with `moved` also in such blocks that stand anywhere else in earlier."""
     out, block = set(), []
     for i, j in [*patience(later, earlier), (-9, -9)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
@@ -97,7 +114,7 @@ def common_blocks(later: list[int], words: list[int], earlier: list[int], block_
                 out.update(k for k, _ in block)
             block = []
         block.append((i, j))
-    if len(out) < len(later):
+    if moved and len(out) < len(later):
         known = dict(zip(later, words, strict=True))  # a run with a line that later lacks is not common, whatever its words
         first, last, runs = line_runs(later, words, block_words)
         hit = np.isin(runs, line_runs(earlier, [known.get(x, 0) for x in earlier], block_words)[2])
@@ -107,50 +124,97 @@ def common_blocks(later: list[int], words: list[int], earlier: list[int], block_
     return sorted(out)
 
 
+SPAN = {"run": pa.int64(), "first": pa.int32(), "last": pa.int32(), "once": pa.bool_()}
+
+
 def _runs(block_words: int):
+    """The runs of each document, where each of their occurrences begins and ends, and one `once` for each distinct run."""
+
     def run(batches):
         for batch in batches:
-            lines, words = batch.column("lines"), batch.column("words")
-            found = [np.unique(line_runs(x.values.to_numpy(), w.values.to_numpy(), block_words)[2]).view(np.int64) for x, w in zip(lines, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__k"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "__k", "runs"])
+            parts, sizes = [], [0]
+            for x, w in zip(batch.column("lines"), batch.column("words"), strict=True):
+                first, last, runs = line_runs(x.values.to_numpy(), w.values.to_numpy(), block_words)
+                order = np.lexsort((first, runs))
+                first, last, runs = first[order], last[order], runs[order]
+                new = np.ones(len(runs), bool)
+                new[1:] = runs[1:] != runs[:-1]
+                keep = new.copy()  # a line alone is found from both of its ends
+                keep[1:] |= first[1:] != first[:-1]
+                parts.append((runs[keep].view(np.int64), first[keep].astype(np.int32), last[keep].astype(np.int32), new[keep]))
+                sizes.append(int(keep.sum()))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), SPAN.values(), strict=True)], list(SPAN)) if parts else pa.array([], pa.struct(list(SPAN.items())))
+            spans = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__k"), spans], ["doc_id", "__k", "spans"])
 
     return run
 
 
-def _aligned(block_words: int):
+def rarest(first: np.ndarray, last: np.ndarray, n: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Which of a document's shared runs some line is led by: each line by the one that fewest documents have, ties by hash."""
+    lead = np.full(int(last.max(initial=0)), -1)
+    for k in np.lexsort((run, n))[::-1]:
+        lead[first[k] : last[k]] = k
+    return np.unique(lead[lead >= 0])
+
+
+def _partners(batches):
+    """The owners of the rarest runs of each document's lines, each once."""
+    for batch in batches:
+        ids, keys, firsts, first_keys = [], [], [], []
+        for i in range(batch.num_rows):
+            own = batch.column("shared")[i].values
+            col = {c: own.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last", "n", "run", "owner_k")}
+            lead = rarest(col["first"], col["last"], col["n"], col["run"])
+            owner_id = own.field("owner_id").take(pa.array(lead)).to_pylist()
+            for pair in dict.fromkeys(zip(owner_id, col["owner_k"][lead].tolist(), strict=True)):
+                ids.append(batch.column("doc_id")[i].as_py()), keys.append(batch.column("__k")[i].as_py())
+                firsts.append(pair[0]), first_keys.append(pair[1])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, keys, firsts, first_keys)], ["doc_id", "__k", "first_id", "first_k"])
+
+
+def _aligned(block_words: int, moved: bool):
     def run(batches):
         for batch in batches:
             lines, words, earlier = (batch.column(c) for c in ("lines", "words", "earlier"))
-            drop = [common_blocks(lines[i].as_py(), words[i].as_py(), earlier[i].as_py(), block_words) for i in range(batch.num_rows)]  # one pair at a time in memory
+            drop = [common_blocks(lines[i].as_py(), words[i].as_py(), earlier[i].as_py(), block_words, moved) for i in range(batch.num_rows)]  # one pair at a time in memory
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__k"), pa.array(drop, pa.list_(pa.int32()))], ["doc_id", "__k", "drop"])
 
     return run
 
 
-def shared_blocks(docs: DataFrame, block_words: int = 10) -> DataFrame:
+def led_pairs(lined: DataFrame, block_words: int) -> DataFrame:
+    """(doc_id, __k, first_id, first_k, owner): each document with the earliest documents that have the rarest runs of its lines."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__k")
+    spans = lined.select("doc_id", "__k", "lines", "words").mapInArrow(_runs(block_words), "doc_id long, __k long, spans array<struct<run:long, first:int, last:int, once:boolean>>")
+    each = materialize(spans.select(rank.alias("doc"), F.explode("spans").alias("at")).select("doc", "at.*"), "runs")
+    again = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("once").cast("int")).alias("docs"), F.min("doc").alias("owner"))
+    again = materialize(again.filter("docs > 1"), "again")
+    found = spread_join(each, again, ["run"]).filter("doc <> owner")
+    shared = found.groupBy("doc").agg(F.collect_list(F.struct("first", "last", F.col("docs").alias("n"), "run", F.col("owner.doc_id").alias("owner_id"), F.col("owner.__k").alias("owner_k"))).alias("shared"))
+    pairs = shared.select("doc.doc_id", "doc.__k", "shared").mapInArrow(_partners, "doc_id long, __k long, first_id long, first_k long")
+    owner = F.xxhash64(F.col("first_id").isNull(), "first_id", "first_k").alias("owner")
+    return pairs.select("*", owner)
+
+
+def shared_blocks(docs: DataFrame, block_words: int = 10, moved: bool = True) -> DataFrame:
     """(doc_id, __k, drop): the places of the lines that each document loses, counted from 0; documents that lose none are left out."""
     line = F.split(F.coalesce("text", F.lit("")), "\n")
-    lined = rows_of(docs, "text").dropDuplicates(["doc_id", "__k"]).select(
+    lined = rows_of(docs, "text").select(
         "doc_id",
         "__k",
         F.transform(line, lambda x: F.xxhash64(F.regexp_replace(x, rf"^{SPACE}|{SPACE}$", ""))).alias("lines"),
         F.transform(line, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))).alias("words"),
     )
-    lined = materialize(lined, "lines")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__k")
-    runs = lined.select("doc_id", "__k", "lines", "words").mapInArrow(_runs(block_words), "doc_id long, __k long, runs array<long>")
-    each = materialize(runs.select(rank.alias("doc"), F.explode("runs").alias("run")), "runs")
-    again = materialize(each.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1"), "again")
-    pairs = spread_join(each, again, ["run"]).filter("doc <> first")
-    pairs = pairs.select("doc.doc_id", "doc.__k", F.col("first.doc_id").alias("first_id"), F.col("first.__k").alias("first_k"), F.xxhash64("first").alias("owner")).distinct()
-    pairs = materialize(pairs, "pairs")
+    lined = materialize(lined.dropDuplicates(["doc_id", "__k"]), "lines")
+    pairs = materialize(led_pairs(lined, block_words), "pairs")
     # an owner of many later documents is sent to several tasks, each with a share of these
     owners = materialize(pairs.groupBy("owner", "first_id", "first_k").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / OWNER_SHARE).cast("int")), "owners")
     pairs = spread_join(pairs, owners.select("owner", "n", "shares"), ["owner"]).withColumn("share", F.pmod(F.col("__k"), F.col("shares")).cast("int"))
     held = join_rows(owners.select(F.col("first_id").alias("doc_id"), F.col("first_k").alias("__k"), "owner", "shares"), lined.select("doc_id", "__k", F.col("lines").alias("earlier")), "inner")
     held = held.select("owner", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "earlier")
     both = join_rows(pairs.drop("shares", "first_id", "first_k"), lined, "inner").join(held, ["owner", "share"])
-    found = both.select("doc_id", "__k", "lines", "words", "earlier").mapInArrow(_aligned(block_words), "doc_id long, __k long, drop array<int>").filter("size(drop) > 0")
+    found = both.select("doc_id", "__k", "lines", "words", "earlier").mapInArrow(_aligned(block_words, moved), "doc_id long, __k long, drop array<int>").filter("size(drop) > 0")
     return found.groupBy("doc_id", "__k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("drop"))
 
 
@@ -165,7 +229,7 @@ def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
 
     Earlier means a smaller doc_id, null last, then the smaller text hash. Rows repeated exactly are one document and get
     the same result; null and empty texts have one empty line and lose nothing; texts of any length are aligned whole, one
-    pair at a time. All columns of docs stay, whatever their names, but those named n_lines and n_removed are replaced. An
+    pair at a time. With `moved`, blocks that the alignment passes over because their order differs go too. All columns of docs stay, whatever their names, but those named n_lines and n_removed are replaced. An
     empty table gives an empty one.
     """
     drop = shared_blocks(docs, **parameters).withColumnRenamed("drop", "lost")
@@ -178,17 +242,18 @@ def dedup_lines(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and the digest of the text that is left (null for a null text)."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_removed and the digest of the text that is left (null for a null text), by alignment alone."""
+    return dedup_lines(docs.select("doc_id", "text"), moved=False).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_shared_blocks(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, n_chars counted again, with lines removed as dedup_lines does, without the documents that lost every line with a word.
 
-    Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names are treated as dedup_lines does.
+    Blocks go by alignment alone. Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names are
+    treated as dedup_lines does.
     """
     inner = docs.select(F.struct("*").alias("row"), "text", "doc_id")
-    left = dedup_lines(inner).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = dedup_lines(inner, moved=False).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)

@@ -371,6 +371,110 @@ def test_line_dedup_is_brute_force(spark):
     assert {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()} == want
 
 
+def aligned_lines(texts, block_words=10):
+    """The lines of each text that leave it by alignment alone: plain recursion over every pair that a line's rarest run leads to."""
+    lines = [[x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")] for t in texts]
+
+    def runs(own):
+        """run -> where it begins and ends, counted from every line forwards and backwards."""
+        spans = defaultdict(set)
+        for i in range(len(own)):
+            for step in (1, -1):
+                k, n = i, 0
+                while 0 <= k < len(own):
+                    n += len(own[k].split())
+                    if n >= block_words:
+                        lo, hi = min(i, k), max(i, k) + 1
+                        spans[tuple(own[lo:hi])].add((lo, hi))
+                        break
+                    k += step
+        return spans
+
+    def match(a, b, i, i2, j, j2):
+        head = []
+        while i < i2 and j < j2 and a[i] == b[j]:
+            head.append((i, j))
+            i, j = i + 1, j + 1
+        tail = []
+        while i < i2 and j < j2 and a[i2 - 1] == b[j2 - 1]:
+            i2, j2 = i2 - 1, j2 - 1
+            tail.append((i2, j2))
+        if i == i2 or j == j2:
+            return head + tail[::-1]
+        once = [(a.index(x, i, i2), b.index(x, j, j2)) for x in dict.fromkeys(a[i:i2]) if a[i:i2].count(x) == 1 and b[j:j2].count(x) == 1]
+        nth = [(p, q) for p in range(i, i2) for q in range(j, j2) if a[p] == b[q] and a[i:p].count(a[p]) == b[j:q].count(b[q])]
+        pairs, best = sorted(once or nth), {}
+        for k, (_, q) in enumerate(pairs):  # the longest rising run, of those equally long the one that patience sorting ends with
+            longest = max([0] + [best[h] for h in range(k) if pairs[h][1] < q])
+            best[k] = longest + 1
+        chain, at, most = [], None, max(best.values(), default=0)
+        for size in range(most, 0, -1):
+            fit = [k for k in best if best[k] == size and (at is None or (k < at and pairs[k][1] < pairs[at][1]))]
+            at = max(fit)
+            chain.append(pairs[at])
+        chain = chain[::-1]
+        out = head + tail
+        for (p, q), (p2, q2) in zip([(i - 1, j - 1), *chain], [*chain, (i2, j2)], strict=True):
+            out += ([(p, q)] if p >= i else []) + (match(a, b, p + 1, p2, q + 1, q2) if chain else [])
+        return sorted(out)
+
+    all_runs = [runs(x) for x in lines]
+    docs_of = Counter(r for x in all_runs for r in x)
+    owner = {}
+    for at, x in enumerate(all_runs):
+        for r in x:
+            owner.setdefault(r, at)
+    out = []
+    for at, own in enumerate(lines):
+        drop, ways = set(), set()
+        for k in range(len(own)):
+            led = [r for r, spans in all_runs[at].items() if docs_of[r] > 1 and owner[r] < at and any(lo <= k < hi for lo, hi in spans)]
+            rare = [r for r in led if docs_of[r] == min(docs_of[x] for x in led)]
+            ways.add(frozenset(owner[r] for r in rare))
+        unsure = any(len(w) > 1 for w in ways)
+        for old in {o for w in ways for o in w}:
+            block = []
+            for p, q in [*match(own, lines[old], 0, len(own), 0, len(lines[old])), (-9, -9)]:
+                if block and (p, q) != (block[-1][0] + 1, block[-1][1] + 1):
+                    if sum(len(own[k].split()) for k, _ in block) >= block_words:
+                        drop |= {k for k, _ in block}
+                    block = []
+                block.append((p, q))
+        out.append((drop, unsure))
+    return out
+
+
+def test_alignment_decides_what_leaves(spark, monkeypatch):
+    """By alignment alone: brute force; a moved block stays; without the alignment nothing leaves."""
+    from quillmesh.llm import line_dedup as m
+
+    ten = lambda i: f"line {i} of ten words or more stands right here, {i}"
+    texts = ["\n".join([ten(1), ten(2), ten(3)]), "\n".join([ten(3), ten(1), ten(2)]), "\n".join([ten(7), ten(7), ten(8)]), "\n".join(["x", ten(7), ten(7)])]
+    rng = random.Random(18)
+    pool = ["", " one", "two words", *(f"five words {i} of {i}" for i in range(4)), "a line of seven words in all ", *(ten(i) for i in range(20, 24))]
+    texts += ["\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {rng.random()} x" for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    d = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: (r.text, r.n_removed) for r in m.dedup_lines(d, moved=False).collect()}
+    sure = 0
+    for i, (t, (drop, unsure)) in enumerate(zip(texts, aligned_lines(texts), strict=True)):
+        if not unsure:  # of runs equally rare the hash decides
+            assert got[i] == ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop), len(drop))
+            sure += bool(drop)
+    assert sure > 10
+    assert [got[i][1] for i in range(4)] == [0, 2, 0, 2] and got[1][0] == ten(3)
+    assert {r.doc_id: r.n_removed for r in m.dedup_lines(d).collect()}[1] == 3
+    monkeypatch.setattr(m, "patience", lambda a, b: [])
+    out = m.common_blocks([1, 2, 3], [10, 10, 10], [1, 2, 3], 10)
+    assert out == []
+
+
+def test_lines_are_led_by_their_rarest_run():
+    from quillmesh.llm.line_dedup import rarest
+
+    first, last, n, run = (np.array(x) for x in ([0, 1, 2, 4], [2, 3, 3, 5], [5, 2, 9, 3], [1, 2, 3, 4]))
+    assert rarest(first, last, n, run).tolist() == [0, 1, 3]
+
+
 def test_language_id(spark):
     from quillmesh.llm.language_id import keep_recognised, language_digest
 
