@@ -299,6 +299,11 @@ def front_matter_line(name: str, c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name + ': "'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def dollar_math(c: Column) -> Column:
     r"""ST31: \( .. \) and \[ .. \] as $ and $$."""
     return F.regexp_replace(F.regexp_replace(c, r"(?s)\\\((.*?)\\\)", r"\$$1\$"), r"(?s)\\\[(.*?)\\\]", r"\$\$$1\$\$")

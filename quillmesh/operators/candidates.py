@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators import retrieval as r
+from quillmesh.operators.pages import VISUAL, owners
 
-VISUAL = ("image", "chart", "table")
-#: Two gaps between boxes count as equal up to this share of the page.
-EDGE_TOLERANCE = 0.003
 FIGURE_FIELDS = ("figure_id", "label", "caption")
 
 
@@ -106,38 +104,6 @@ def lint_records(records: DataFrame, key: str, claim_types: list[str], figure_st
 
 
 def visual_parents(blocks: DataFrame) -> DataFrame:
-    """JN19: (doc, idx, parent) of every caption and footnote among blocks(doc, idx, type, x0, y0, x1, y1); parent is null where none is next to it.
-
-    A caption belongs to a visual block next to it with captions alone between them, a footnote to one before it with
-    captions and footnotes alone between. Of two, the one with the smaller gap between the boxes; if these are equal up to
-    EDGE_TOLERANCE, the later of two tables, else the nearer centre, then the earlier. Neighbours come from window
-    functions over the page, so no pairs of blocks are formed.
-    """
-    own = F.struct("idx", "type", "x0", "y0", "x1", "y1")
-    page = Window.partitionBy("doc").orderBy("idx")
-    before, after = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(1, Window.unboundedFollowing)
-    no_caption = F.when(F.col("type") != "caption", own)
-    placed = blocks.withColumns({
-        "prev": F.last(no_caption, ignorenulls=True).over(before),
-        "next": F.first(no_caption, ignorenulls=True).over(after),
-        "body": F.last(F.when(~F.col("type").isin("caption", "footnote"), own), ignorenulls=True).over(before),
-    }).filter(F.col("type").isin("caption", "footnote"))
-    visual = lambda c: F.when(F.col(f"{c}.type").isin(*VISUAL), F.col(c))
-    placed = placed.withColumns({"prev": visual("prev"), "next": visual("next"), "body": visual("body")})
-
-    def gap(c: str) -> Column:
-        apart = lambda lo, hi: F.greatest(F.col(lo) - F.col(f"{c}.{hi}"), F.col(f"{c}.{lo}") - F.col(hi), F.lit(0.0))
-        return F.sqrt(apart("x0", "x1") * apart("x0", "x1") + apart("y0", "y1") * apart("y0", "y1"))
-
-    def centre(c: str) -> Column:
-        off = lambda lo, hi: (F.col(lo) + F.col(hi)) / 2 - (F.col(f"{c}.{lo}") + F.col(f"{c}.{hi}")) / 2
-        return F.sqrt(off("x0", "x1") * off("x0", "x1") + off("y0", "y1") * off("y0", "y1"))
-
-    later = (
-        F.when(F.abs(gap("prev") - gap("next")) > EDGE_TOLERANCE, gap("next") < gap("prev"))
-        .when((F.col("prev.type") == "table") & (F.col("next.type") == "table"), True)
-        .otherwise(centre("next") < centre("prev"))
-    )
-    both = F.col("prev").isNotNull() & F.col("next").isNotNull()
-    caption = F.when(both, F.when(later, F.col("next.idx")).otherwise(F.col("prev.idx"))).otherwise(F.coalesce("prev.idx", "next.idx"))
-    return placed.select("doc", "idx", F.when(F.col("type") == "caption", caption).otherwise(F.col("body.idx")).alias("parent"))
+    """JN19: (doc, idx, parent) of every caption and footnote among blocks(doc, idx, type, x0, y0, x1, y1), as pages.owners finds it; parent is null where none is next to it."""
+    kind = F.when(F.col("type").isin("caption", "footnote"), F.col("type")).when(F.col("type").isin(*VISUAL), "visual").otherwise("flow")
+    return owners(blocks.withColumn("kind", kind), ["doc"]).filter(F.col("type").isin("caption", "footnote")).select("doc", "idx", "parent")
