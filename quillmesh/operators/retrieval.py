@@ -8,13 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmesh.functions.text import tokens
+from quillmesh.session import settled
 
 POOL = 20
 RRF_K = 10
 TOP_N = 5
 MOST_QUERIES = 10_000
+#: Similarities held at once.
+CELLS = 4_000_000
 #: Namespaces in which an identifier belongs to one object only.
 UNIQUE_NAMESPACES = ("arxiv", "doi", "s2")
 
@@ -76,48 +80,78 @@ def bm25(queries: DataFrame, texts: DataFrame, k1: float = 1.2, b: float = 0.75)
     return scored.groupBy("q", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def _nearest(asked, pool: int):
-    ids, matrix = asked
+def unit_rows(vectors) -> np.ndarray:
+    """Rows of doubles of length one; null rows become zeros."""
+    dims = max((len(v) for v in vectors if v is not None), default=0)
+    x = np.array([v if v is not None else [0.0] * dims for v in vectors], float).reshape(len(vectors), dims)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def best_rows(sims: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the `pool` largest of each column; of equal ones the upper rows."""
+    if len(sims) <= pool:
+        return tuple(x.ravel() for x in np.indices(sims.shape))
+    kth = np.partition(sims, len(sims) - pool, axis=0)[len(sims) - pool]
+    above, equal = sims > kth, sims == kth
+    return np.nonzero(above | (equal & (equal.cumsum(axis=0) <= pool - above.sum(axis=0))))
+
+
+def _nearest(asked, pool: int, kind: pa.DataType):
+    """Each task's `pool` nearest items of every query; similarities are worked out for CELLS of them at a time."""
 
     def run(batches):
-        best: dict[int, list] = {i: [] for i in ids}
+        ids, matrix = asked.value
+        held: list[tuple] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column("embedding").to_pylist(), float)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            own = np.array(batch.column("id").to_pylist())
-            sims = np.round((1 + x @ matrix.T) / 2, 9)
-            for j, q in enumerate(ids):
-                rows = np.lexsort((own, -sims[:, j]))[:pool]
-                best[q] = sorted(best[q] + list(zip(-sims[rows, j], own[rows], strict=True)))[:pool]
-        rows = [(q, int(i), float(-s)) for q, found in best.items() for s, i in found]
-        cols = list(zip(*rows, strict=True)) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["q", "id", "score"])
+            own = np.array(batch.column("id").to_pylist(), dtype=object)
+            order = np.argsort(own, kind="stable") if len(own) else []
+            x, own = unit_rows(batch.column("embedding").to_pylist())[order], own[order]
+            step = max(1, CELLS // max(1, len(x)))
+            for at in range(0, len(ids) if len(x) else 0, step):
+                sims = np.round((1 + x @ matrix[at : at + step].T) / 2, 9)
+                row, col = best_rows(sims, pool)
+                held.append((col + at, own[row], sims[row, col]))
+            if sum(len(h[0]) for h in held) > 4 * pool * len(ids) + 100_000:
+                held = [_kept(held, pool)]
+        if held:
+            q, found, score = _kept(held, pool)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in q], pa.int64()), pa.array(found.tolist(), kind), pa.array(score, pa.float64())], ["q", "id", "score"])
 
     return run
 
 
+def _kept(held: list[tuple], pool: int) -> tuple:
+    """The `pool` best of each query, ties by id."""
+    q, ids, score = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(ids, kind="stable")
+    order = order[np.lexsort((-score[order], q[order]))]
+    q, ids, score = q[order], ids[order], score[order]
+    first = np.searchsorted(q, q, "left")
+    keep = np.arange(len(q)) - first < pool
+    return q[keep], ids[keep], score[keep]
+
+
 def semantic(queries: DataFrame, items: DataFrame, pool: int = POOL) -> DataFrame:
     """RT3: (q, id, score) of the `pool` nearest items(id, embedding) of each of queries(q, embedding), by cosine mapped to [0, 1].
 
-    Exact: every task compares its items with a block of queries and passes on its own best `pool` of each. More than
-    MOST_QUERIES queries are dealt into blocks of about half as many, each of which passes over the items.
+    Exact: every task compares its items with the queries and passes on its own best `pool` of each. Queries are broadcast
+    in blocks of up to about MOST_QUERIES, a fixed size; a second block and further ones each pass over the items, are
+    written, and then leave the executors.
     """
-    n = queries.count()
-    if not n:
-        return queries.select(F.col("q").cast("long"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
-    blocks = 1 if n <= MOST_QUERIES else 2 * n // MOST_QUERIES + 1
-    asked = (queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect() for i in range(blocks))
-    return reduce(DataFrame.unionByName, [_block(rows, items, pool) for rows in asked if rows])
-
-
-def _block(rows: list, items: DataFrame, pool: int) -> DataFrame:
-    """The nearest items of one block of queries."""
-    matrix = np.array([r["embedding"] for r in rows], float).reshape(len(rows), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    local = items.select("id", "embedding").mapInArrow(_nearest(([r["q"] for r in rows], matrix), pool), "q long, id long, score double")
-    return top(local, pool)
+    spark, n = items.sparkSession, queries.count()
+    schema = f"q long, id {items.schema['id'].dataType.simpleString()}, score double"
+    kind = to_arrow_type(items.schema["id"].dataType)
+    blocks = -(-n // MOST_QUERIES)
+    blocks = blocks if blocks < 2 else 2 * blocks
+    parts = []
+    for i in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
+        asked = spark.sparkContext.broadcast(([r["q"] for r in rows], unit_rows([r["embedding"] for r in rows])))
+        local = top(items.select("id", "embedding").mapInArrow(_nearest(asked, pool, kind), schema), pool)
+        parts.append(local if blocks == 1 else settled(local))
+        if blocks > 1:
+            asked.unpersist()
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def top(scored: DataFrame, n: int) -> DataFrame:
