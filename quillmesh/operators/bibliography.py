@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as t
+from quillmesh.operators.similar import closest_names
 
 MOST_RANGE = 50
 
@@ -53,6 +54,10 @@ def compared(left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.select("paper_id", status.alias("status"), "first_difference")
 
 
+#: Surnames of fewer letters are not met by likeness.
+LEAST_LETTERS = 5
+
+
 def cited_references(citations: DataFrame, references: DataFrame) -> DataFrame:
     """JN12: (citation, rung, n_refs, first_ref) of citations(citation, paper, surname, year) in references(ref, paper, surname, year).
 
@@ -66,6 +71,21 @@ def cited_references(citations: DataFrame, references: DataFrame) -> DataFrame:
     return best.groupBy("citation").agg(F.min(F.struct("rung", "n_refs", "first_ref")).alias("b")).select("citation", "b.*")
 
 
+def alike_references(citations: DataFrame, references: DataFrame) -> DataFrame:
+    """JN12, third rung: (citation, n_refs, first_ref, surnames) of citations that neither year finds: the references of their paper and year whose surname is alike.
+
+    A surname of LEAST_LETTERS or more meets the three most alike surnames of a ratio of 0.9 or more; surnames lists them.
+    """
+    year = F.substring("year", 1, 4).alias("base")
+    found = cited_references(citations, references).select("citation")
+    left = citations.join(found, "citation", "left_anti").filter(F.char_length("surname") >= LEAST_LETTERS).select("citation", "paper", year, F.col("surname").alias("asked"))
+    refs = references.select("ref", "paper", year, F.col("surname").alias("known"))
+    close = closest_names(left, refs, ["paper", "base"])
+    names = close.groupBy("paper", "base", "asked").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "known"))), lambda x: x["known"]), ",").alias("surnames"))
+    held = close.join(refs, ["paper", "base", "known"]).groupBy("paper", "base", "asked").agg(F.countDistinct("ref").alias("n_refs"), F.min("ref").alias("first_ref"))
+    return left.join(held, ["paper", "base", "asked"]).join(names, ["paper", "base", "asked"]).select("citation", "n_refs", "first_ref", "surnames")
+
+
 def expanded_numbers(c: Column) -> Column:
     """JN13: the numbers of a citation such as `[1, 3-5]`; ranges wider than MOST_RANGE are not expanded."""
     parts = F.split(F.regexp_replace(c, r"[\[\]\s]", ""), ",")

@@ -62,6 +62,49 @@ g AS (SELECT citation, CASE WHEN c.year = f.year THEN 1 ELSE 2 END AS rung, coun
 SELECT citation, rung, n_refs, first_ref FROM g QUALIFY row_number() OVER (PARTITION BY citation ORDER BY rung) = 1"""
 
 
+def _misspelt(name, at, how):
+    """A name without a letter, with one more, or with another one at a place; how = 3 leaves it."""
+    head, tail = F.substring(name, F.lit(1), at), F.substring(name, at + 1, F.lit(1000))
+    return F.when(how == 0, F.concat(head, F.substring(tail, 2, 1000))).when(how == 1, F.concat(head, F.lit("x"), tail)).when(how == 2, F.concat(head, F.lit("q"), F.substring(tail, 2, 1000))).otherwise(name)
+
+
+def _surnames(spark, sf_dir):
+    """References by the names of parts, and citations of them from lines of orders, misspelt in several ways."""
+    p = table(spark, sf_dir, "part").withColumn("surname", F.replace("p_name", F.lit(" "), F.lit("")))
+    year = lambda c: F.concat(F.lit("199"), (c % 5).cast("string"), F.when(c % 4 == 0, "a").otherwise(""))
+    refs = p.select(F.col("p_partkey").alias("ref"), (F.col("p_size") % 20).cast("long").alias("paper"), "surname", year(F.col("p_partkey")).alias("year"))
+    lines = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    cited = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("citation"), (F.col("p_size") % 20).cast("long").alias("paper"), _misspelt(F.col("surname"), (F.col("l_suppkey") % 4).cast("int"), F.col("l_orderkey") % 4).alias("surname"), year(F.col("l_partkey")).alias("year"))
+    return cited.distinct(), refs
+
+
+def jn12_alike(spark, sf_dir):
+    return b.alike_references(*_surnames(spark, sf_dir))
+
+
+def _ratio_sql(pairs: str, levels: int = 6) -> str:
+    """CTEs that end in ratios(a, b, ratio) over pairs(a, b): the longest common block, first in a, then in b, and the same to its left and right."""
+    steps = [f"w0 AS (SELECT a, b, '' AS path, a AS x, b AS y FROM {pairs})"]
+    for k in range(levels):
+        steps.append(f"""m{k} AS (SELECT a, b, path, x, y, i, j, l FROM (SELECT *, unnest(range(1, least(length(x) - i, length(y) - j) + 1)) AS l FROM (SELECT *, unnest(range(length(y))) AS j FROM (SELECT *, unnest(range(length(x))) AS i FROM w{k})))
+ WHERE substr(x, i + 1, l) = substr(y, j + 1, l) QUALIFY row_number() OVER (PARTITION BY a, b, path ORDER BY l DESC, i, j) = 1)""")
+        steps.append(f"w{k + 1} AS (SELECT a, b, path || 'l' AS path, substr(x, 1, i) AS x, substr(y, 1, j) AS y FROM m{k} UNION ALL SELECT a, b, path || 'r', substr(x, i + l + 1), substr(y, j + l + 1) FROM m{k})")
+    blocks = " UNION ALL ".join(f"SELECT a, b, l FROM m{k}" for k in range(levels))
+    return ", ".join(steps) + f", ratios AS MATERIALIZED (SELECT a, b, 2.0::DOUBLE * sum(l) / (length(a) + length(b)) AS ratio FROM ({blocks}) GROUP BY a, b)"
+
+
+_YEAR = "'199' || ({0} % 5) || CASE WHEN {0} % 4 = 0 THEN 'a' ELSE '' END"
+_JN12_ALIKE = f"""WITH p AS (SELECT *, replace(p_name, ' ', '') AS surname FROM part), f AS (SELECT p_partkey AS ref, p_size % 20 AS paper, surname, {_YEAR.format('p_partkey')} AS year FROM p),
+l AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS citation, p_size % 20 AS paper, surname AS s, l_suppkey % 4 AS k, l_orderkey % 4 AS how, {_YEAR.format('l_partkey')} AS year FROM lineitem JOIN p ON l_partkey = p_partkey),
+c AS (SELECT DISTINCT citation, paper, CASE how WHEN 0 THEN substr(s, 1, k) || substr(s, k + 2) WHEN 1 THEN substr(s, 1, k) || 'x' || substr(s, k + 1) WHEN 2 THEN substr(s, 1, k) || 'q' || substr(s, k + 2) ELSE s END AS surname, year FROM l),
+o AS (SELECT citation, paper, surname, substr(year, 1, 4) AS base FROM c WHERE length(surname) >= 5 AND NOT EXISTS (SELECT 1 FROM f WHERE f.paper = c.paper AND f.surname = c.surname AND substr(f.year, 1, 4) = substr(c.year, 1, 4))),
+met AS MATERIALIZED (SELECT DISTINCT o.paper, o.base, o.surname AS asked, f.surname AS known FROM o JOIN f ON f.paper = o.paper AND substr(f.year, 1, 4) = o.base),
+pairs AS (SELECT DISTINCT known AS a, asked AS b FROM met WHERE levenshtein(known, asked) <= (length(known) + length(asked)) * 0.1 + 0.001), {_ratio_sql('pairs')},
+close AS (SELECT paper, base, asked, known, row_number() OVER (PARTITION BY paper, base, asked ORDER BY ratio DESC, known DESC) AS place FROM met JOIN ratios ON a = known AND b = asked WHERE ratio >= 0.9 QUALIFY place <= 3)
+SELECT citation, count(DISTINCT ref) AS n_refs, min(ref) AS first_ref, (SELECT string_agg(known, ',' ORDER BY place) FROM close z WHERE z.paper = o.paper AND z.base = o.base AND z.asked = o.surname) AS surnames
+FROM o JOIN close ON close.paper = o.paper AND close.base = o.base AND asked = surname JOIN f ON f.paper = o.paper AND substr(f.year, 1, 4) = o.base AND f.surname = known GROUP BY citation, o.paper, o.base, o.surname"""
+
+
 def jn13(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("concat('[', o_orderkey % 9 + 1, ', ', o_orderkey % 20 + 3, '-', o_orderkey % 20 + o_custkey % 60, ']')").alias("raw"))
     numbers = F.filter(b.expanded_numbers(F.col("raw")), lambda i: i <= 40)
@@ -217,6 +260,7 @@ QUERIES = {
     "wn8_first_difference": (lambda s, d: dc10(s, d).filter("status = 'mismatch'").select("paper_id", "first_difference"), oracle("mentions", _COMPARED + " SELECT paper_id, first_difference FROM cmp WHERE status = 'mismatch'")),
     "tk4_index_sort": (tk4, oracle("mentions", _KEYED + " SELECT key, mention_count FROM idx ORDER BY mention_count DESC, key_type, key LIMIT 50")),
     "jn12_citation_lookup": (jn12, _JN12),
+    "jn12_alike_surnames": (jn12_alike, _JN12_ALIKE),
     "jn13_numeric_citations": (jn13, _JN13),
     "jn14_as_of_section": (jn14, "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events"),
     "jn15_line_of_offset": (jn15, "SELECT doc_id, CAST(length(p) - length(replace(p, chr(10), '')) + 1 AS BIGINT) AS line FROM (SELECT doc_id, substr(text, 1, CAST(floor(length(text) / 2) AS INTEGER)) AS p FROM documents WHERE text IS NOT NULL)"),

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from quillmesh.operators import retrieval as r
 from quillmesh.operators import search as se
 from quillmesh.operators.text_index import STOP_WORDS, TextIndex
+from quillmesh.operators.vector_index import VectorIndex
 from quillmesh.session import scratch, table
 
+#: The share of cells that a query visits.
+PROBE = 0.7
+
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _VOICED = "'[aeiou]|[^aeiou]y'"
 
@@ -102,6 +106,15 @@ def ac5(spark, sf_dir):
     return found.select("q", "place", "id", F.round("rrf", 6).alias("rrf"), "evidence", "witnesses", "n_feasible", "candidate_depth", "truncated")
 
 
+def rt3_indexed(spark, sf_dir):
+    """The nearest vectors through the index, of every twentieth vector; approximate, so it has no SQL."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(spark, scratch(spark, "vector-index"))
+    index.fit(e)
+    index.add(e)
+    return index.search(e.filter("id % 20 = 0").withColumnRenamed("id", "q"), e, probe=PROBE).select("q", "id", F.round("score", 4).alias("score"))
+
+
 _COSINE = "round((1 + list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) / 2, 9)"
 _AC5 = f"""WITH asked_all AS (SELECT item_id AS q, text, CASE item_id % 4 WHEN 1 THEN 'Article' WHEN 2 THEN 'Note' END AS kind, CASE WHEN item_id % 6 IN (0, 1, 2) THEN 'group' || (item_id % 10) END AS grp, CASE WHEN item_id % 6 IN (2, 3) THEN [{", ".join(f"'{x}'" for x in LANGS)}][item_id % 4 + 1] END AS lng FROM benchmark),
 fit AS MATERIALIZED (SELECT q, CAST(doc_id AS VARCHAR) AS id, concat_ws(',', CASE WHEN grp IS NOT NULL THEN 'FROM=' || source END, CASE WHEN lng IS NOT NULL THEN 'IN=' || lang END) AS witnesses FROM asked_all a JOIN documents d
@@ -119,5 +132,6 @@ QUERIES = {
     "rt2_indexed_text": (rt2_indexed, _TOP),
     "rt2_appended_index": (rt2_appended, _TOP),
     "rt2_term_dictionary": (rt2_terms, f"WITH {_TEXTS}, {_full('asked', 'texts')} SELECT term, df FROM d_f"),
+    "rt3_indexed_vectors": (rt3_indexed, None),
     "ac5_search": (ac5, _AC5),
 }
