@@ -9,6 +9,9 @@ from quillmesh.session import settled
 
 SYMMETRIC = ("OVERLAPS_WITH", "DIFFERS_FROM", "CONTRADICTS")
 
+#: Rows numbered in one task.
+RANGE_ROWS = 20_000
+
 
 def exact_owners(mentions: DataFrame, name_keys: DataFrame, kind: str, scope: str = "global") -> DataFrame:
     """JN1: the owners of each mention's exact key; mentions without an owner stay with an empty list."""
@@ -84,27 +87,31 @@ def methods_with_models(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def expand_down(seeds: DataFrame, edges: DataFrame, types: tuple[str, ...] = ("PART_OF", "VERSION_OF"), depth: int = 2) -> DataFrame:
     """AC12: (root, id, depth): what is reached against the direction of `types` in up to `depth` steps, each id once at its least depth.
 
-    A step is one join on the edges of these types; an id already on the path is not taken again, so cycles end.
+    A step is one join on the edges of these types. A level holds each (root, id) once, and none that a level before had: it
+    grows with the ids reached, not with the paths to them, and circles end.
     """
-    step = edges.filter(F.col("type").isin(*types)).select(F.col("dst").alias("at"), F.col("src").alias("next"))
-    level = seeds.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    found = level
+    step = edges.filter(F.col("type").isin(*types)).select(F.col("dst").alias("at"), F.col("src").alias("next")).distinct()
+    found = level = seeds.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
     for d in range(1, depth + 1):
-        level = level.join(step, F.col("id") == F.col("at")).filter(~F.array_contains("path", F.col("next"))).select("root", F.col("next").alias("id"), F.lit(d).alias("depth"), F.concat("path", F.array("next")).alias("path"))
+        onward = level.join(step, F.col("id") == F.col("at")).select("root", F.col("next").alias("id")).distinct()
+        level = onward.join(found, ["root", "id"], "left_anti").withColumn("depth", F.lit(d))
+        level = settled(level) if 1 < d < depth else level  # else plans of deep expansions double with each level
         found = found.unionByName(level)
-    return found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+    return found
 
 
 def experiments(subjects: DataFrame, edges: DataFrame, datasets: DataFrame, role: str = "evaluation_data") -> DataFrame:
     """AC4: (bucket, experiment, subject, dataset) of experiments on the subjects.
 
     `matched` use a wanted dataset in the wanted role, `role_missing` use one without a stated role, and `expandable` use
-    only parts of a wanted dataset. datasets(id, depth) comes from `expand_down`; depth 0 is wanted itself.
+    only parts of a wanted dataset. datasets(id, depth) comes from `expand_down`; depth 0 is wanted itself. With a column root,
+    the dataset asked for, each row tells for which one it holds.
     """
+    root = [c for c in ("root",) if c in datasets.columns]
     on = edges.filter("type = 'EVALUATES'").join(subjects.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("experiment"), F.col("dst").alias("subject")).distinct()
-    uses = edges.filter("type = 'USES'").join(datasets.select(F.col("id").alias("dst"), "depth"), "dst").select(F.col("src").alias("experiment"), F.col("dst").alias("dataset"), F.col("role").alias("as"), "depth").distinct()
+    uses = edges.filter("type = 'USES'").join(datasets.select(F.col("id").alias("dst"), "depth", *root), "dst").select(F.col("src").alias("experiment"), F.col("dst").alias("dataset"), F.col("role").alias("as"), "depth", *root).distinct()
     both = on.join(uses, "experiment")
-    pick = lambda bucket, cond: both.filter(cond).select(F.lit(bucket).alias("bucket"), "experiment", "subject", "dataset").distinct()
+    pick = lambda bucket, cond: both.filter(cond).select(F.lit(bucket).alias("bucket"), "experiment", "subject", "dataset", *root).distinct()
     wanted = F.col("as") == role
     return pick("matched", (F.col("depth") == 0) & wanted).unionByName(pick("expandable", (F.col("depth") > 0) & wanted)).unionByName(pick("role_missing", F.col("as").isNull()))
 
@@ -184,7 +191,7 @@ def allocate(batch: DataFrame, last: DataFrame, prefixes: Column) -> DataFrame:
 
     Rows are numbered inside sampled ranges of (kind, pos), and ranges by the sums before them, so no kind fills a task.
     """
-    ranges = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), batch.count() // RANGE_ROWS + 1)
     cut = settled(batch.select("kind", "pos").repartitionByRange(ranges, "kind", "pos").withColumn("range", F.spark_partition_id()))
     ahead = Window.partitionBy("kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.groupBy("kind", "range").agg(F.count(F.lit(1)).alias("n")).select("kind", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))

@@ -78,11 +78,11 @@ SELECT doc_id, md5(trim(regexp_replace(substr(t, lo + 1, hi - lo), '[\\t-\\r \\x
 
 def st32(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return n.plain_contexts(d, "doc_id", "text", "[A-Z][a-z]+ing", most=3).withColumn("context", F.md5("context"))
+    return n.plain_contexts(d, "doc_id", "text", "[A-Z][a-z]+ing").withColumn("context", F.md5("context"))
 
 
 _ST32 = """WITH x AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10))) AS s, generate_subscripts(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, md5(s) AS context FROM x WHERE length(s) >= 40 AND regexp_matches(s, '[A-Z][a-z]+ing') QUALIFY n <= 3"""
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, md5(s) AS context FROM x WHERE length(s) >= 40 AND regexp_matches(s, '[A-Z][a-z]+ing') QUALIFY n <= 100"""
 
 
 def dc16(spark, sf_dir):

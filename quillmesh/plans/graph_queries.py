@@ -28,7 +28,7 @@ def jn1(spark, sf_dir):
 
 
 def jn2(spark, sf_dir):
-    wanted = table(spark, sf_dir, "part").filter("p_size < 10").select(F.concat(F.lit("url:"), "p_brand").alias("identifier")).distinct()
+    wanted = table(spark, sf_dir, "part").select(F.concat(F.lit("url:"), "p_brand").alias("identifier")).distinct()
     return g.holders(wanted, a.nodes(spark, sf_dir))
 
 
@@ -92,29 +92,27 @@ def ac12(spark, sf_dir):
 
 
 def _experiments(spark, sf_dir):
-    e = a.edges(spark, sf_dir)
-    nations = a.nodes(spark, sf_dir).filter("id = 'dataset_n3'").select("id").union(a.nodes(spark, sf_dir).filter("id = 'dataset_s7'").select("id"))
-    data = g.expand_down(nations, e).groupBy("id").agg(F.min("depth").alias("depth"))
-    subjects = a.methods(spark, sf_dir).filter("method_id < 'method_0009'").select(F.col("method_id").alias("id"))
-    return g.experiments(subjects, e, data)
+    """All methods on the datasets of each nation, and on each supplier's own."""
+    e, nodes = a.edges(spark, sf_dir), a.nodes(spark, sf_dir)
+    data = g.expand_down(nodes.filter("description in ('nation', 'supplier')").select("id"), e)
+    return g.experiments(a.methods(spark, sf_dir).select(F.col("method_id").alias("id")), e, data)
 
 
-_EXP = """, step AS (SELECT dst AS d, src AS nxt FROM edges WHERE type IN ('PART_OF', 'VERSION_OF')), seeds AS (SELECT id FROM nodes WHERE id IN ('dataset_n3', 'dataset_s7')),
-l1 AS (SELECT nxt AS id FROM seeds JOIN step ON id = d), l2 AS (SELECT nxt AS id FROM l1 JOIN step ON id = d),
-data AS (SELECT id, min(depth) AS depth FROM (SELECT id, 0 AS depth FROM seeds UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2) GROUP BY id),
-both_ AS (SELECT DISTINCT e.src AS experiment, e.dst AS subject, u.dst AS dataset, u.role, depth FROM edges e JOIN edges u ON e.src = u.src AND u.type = 'USES' JOIN data ON u.dst = data.id WHERE e.type = 'EVALUATES' AND e.dst < 'method_0009'),
-found AS (SELECT DISTINCT CASE WHEN role IS NULL THEN 'role_missing' WHEN depth = 0 THEN 'matched' ELSE 'expandable' END AS bucket, experiment, subject, dataset FROM both_ WHERE role IS NULL OR role = 'evaluation_data')"""
+_EXP = """, step AS (SELECT dst AS d, src AS nxt FROM edges WHERE type IN ('PART_OF', 'VERSION_OF')), seeds AS (SELECT id FROM nodes WHERE description IN ('nation', 'supplier')),
+l1 AS (SELECT id AS root, nxt AS id FROM seeds JOIN step ON id = d), l2 AS (SELECT root, nxt AS id FROM l1 JOIN step ON id = d),
+data AS (SELECT root, id, min(depth) AS depth FROM (SELECT id AS root, id, 0 AS depth FROM seeds UNION ALL SELECT root, id, 1 FROM l1 UNION ALL SELECT root, id, 2 FROM l2) GROUP BY root, id),
+both_ AS (SELECT DISTINCT root, e.src AS experiment, e.dst AS subject, u.dst AS dataset, u.role, depth FROM edges e JOIN edges u ON e.src = u.src AND u.type = 'USES' JOIN data ON u.dst = data.id WHERE e.type = 'EVALUATES'),
+found AS (SELECT DISTINCT root, CASE WHEN role IS NULL THEN 'role_missing' WHEN depth = 0 THEN 'matched' ELSE 'expandable' END AS bucket, experiment, subject, dataset FROM both_ WHERE role IS NULL OR role = 'evaluation_data')"""
 
 
 def ac6(spark, sf_dir):
-    refs = a.methods(spark, sf_dir).filter("method_id < 'method_0004'").select(F.col("method_id").alias("id")).union(_roots(spark, sf_dir)).union(a.nodes(spark, sf_dir).filter("id like 'dataset_s1%' or id like 'paper_1%'").select("id"))
-    return g.context(refs, a.edges(spark, sf_dir)).groupBy("ref", "role").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("first_other"))
+    return g.context(a.nodes(spark, sf_dir).select("id"), a.edges(spark, sf_dir)).groupBy("ref", "role").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("first_other"))
 
 
 def _context_sql():
     pats = [("usage", "EVALUATES", "dst", "src", ""), ("parts", "PART_OF", "dst", "src", ""), ("whole", "PART_OF", "src", "dst", ""), ("implementations", "IMPLEMENTS", "dst", "src", ""), ("experiments", "FROM", "dst", "src", ""), ("training", "USES", "dst", "src", " AND e.role = 'training_data'"), ("evaluation", "USES", "dst", "src", " AND e.role = 'evaluation_data'")]
     union = " UNION ALL ".join(f"SELECT DISTINCT r.id AS ref, '{n}' AS role, e.{o} AS other FROM refs r JOIN edges e ON r.id = e.{at} AND e.type = '{t}'{x}" for n, t, at, o, x in pats)
-    return f", refs AS (SELECT id FROM nodes WHERE id < 'method_0004' AND kind = 'Method' OR description = 'region' OR id LIKE 'dataset_s1%' OR id LIKE 'paper_1%') SELECT ref, role, count(*) AS n, min(other) AS first_other FROM ({union}) GROUP BY ALL"
+    return f", refs AS (SELECT id FROM nodes) SELECT ref, role, count(*) AS n, min(other) AS first_other FROM ({union}) GROUP BY ALL"
 
 
 def ac7(spark, sf_dir):
@@ -163,7 +161,7 @@ def so5(spark, sf_dir):
 
 QUERIES = {
     "jn1_exact_key_lookup": (jn1, oracle("keys", _MENTIONS + ", o AS (SELECT key, array_to_string(list_sort(list(DISTINCT object_id)), ',') AS owners, max(status) AS status FROM name_keys GROUP BY key) SELECT q, mention, coalesce(owners, '') AS owners, status FROM q LEFT JOIN o ON o.key = mention || '|Method|global'")),
-    "jn2_identifier_holders": (jn2, oracle("nodes", ", held AS (SELECT id, unnest(identifiers) AS identifier FROM nodes) SELECT DISTINCT identifier, id FROM held WHERE identifier IN (SELECT 'url:' || p_brand FROM part WHERE p_size < 10)")),
+    "jn2_identifier_holders": (jn2, oracle("nodes", ", held AS (SELECT id, unnest(identifiers) AS identifier FROM nodes) SELECT DISTINCT identifier, id FROM held WHERE identifier IN (SELECT 'url:' || p_brand FROM part)")),
     "jn3_label_check": (jn3, oracle("nodes", "SELECT id, 'Code' AS kind, kind AS stored_kind FROM nodes WHERE kind = 'Model'")),
     "jn4_edge_exists": (jn4, oracle("edges", "SELECT DISTINCT src AS a, type, dst AS b FROM edges WHERE type = 'PART_OF' AND (src, dst) IN (SELECT 'dataset_s' || CAST(s_suppkey AS VARCHAR), 'dataset_n' || CAST(s_suppkey % 25 AS VARCHAR) FROM supplier)")),
     "ac2_get": (ac2, oracle("keys", _REFS + " SELECT pos, r.id, n.name IS NOT NULL AS found, family, n.kind, n.name, coalesce((SELECT array_to_string(list_sort(list(DISTINCT raw)), ',') FROM name_keys k WHERE k.object_id = r.id AND k.raw <> n.name), '') AS aliases FROM refs r LEFT JOIN nodes n ON r.id = n.id")),
@@ -174,8 +172,8 @@ QUERIES = {
     "jn8_path_pattern": (jn8, oracle("edges", ", e AS (SELECT * FROM edges WHERE type = 'EVALUATES' AND dst = 'method_0003' AND version = '1996'), p AS (SELECT DISTINCT e.role, e.version, f.dst AS paper FROM e JOIN edges f ON e.src = f.src AND f.type = 'FROM') SELECT DISTINCT x.paper AS paper, y.paper AS other FROM p x JOIN p y ON x.version = y.version AND x.role = 'target' AND y.role = 'baseline' AND x.paper < y.paper")),
     "jn9_methods_with_models": (jn9, oracle("graph", "SELECT n.name AS method, (SELECT count(*) FROM edges WHERE type = 'IMPLEMENTS' AND dst = n.id) AS n_models, (SELECT count(DISTINCT src) FROM edges WHERE type = 'EVALUATES' AND dst = n.id) AS n_experiments FROM nodes n WHERE n.kind = 'Method'")),
     "ac12_narrower_expansion": (ac12, oracle("graph", _DOWN + " SELECT root, id, CAST(depth AS INTEGER) AS depth FROM down")),
-    "ac4_experiments": (_experiments, oracle("graph", _EXP + " SELECT bucket, experiment, subject, dataset FROM found")),
-    "jn27_experiment_buckets": (lambda s, d: _experiments(s, d).groupBy("bucket", "subject").agg(F.count(F.lit(1)).alias("n")), oracle("graph", _EXP + " SELECT bucket, subject, count(*) AS n FROM found GROUP BY ALL")),
+    "ac4_experiments": (_experiments, oracle("graph", _EXP + " SELECT root, bucket, experiment, subject, dataset FROM found")),
+    "jn27_experiment_buckets": (lambda s, d: _experiments(s, d).groupBy("root", "bucket", "subject").agg(F.count(F.lit(1)).alias("n")), oracle("graph", _EXP + " SELECT root, bucket, subject, count(*) AS n FROM found GROUP BY ALL")),
     "ag23_experiment_counts": (lambda s, d: g.bucket_counts(_experiments(s, d)), oracle("graph", _EXP + " SELECT bucket, count(DISTINCT experiment) AS n_experiments, count(*) AS n_rows FROM found GROUP BY bucket")),
     "so2_tagged_union": (lambda s, d: _experiments(s, d).groupBy("bucket").agg(F.countDistinct("dataset").alias("n_datasets")), oracle("graph", _EXP + " SELECT bucket, count(DISTINCT dataset) AS n_datasets FROM found GROUP BY bucket")),
     "ac6_context": (ac6, oracle("graph", _context_sql())),

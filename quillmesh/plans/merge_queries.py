@@ -56,7 +56,7 @@ def wn11(spark, sf_dir):
 
 
 def st39(spark, sf_dir):
-    found = p.numbered_block(F.split("text", "\n"), 3, 20)
+    found = p.numbered_block(F.split("text", "\n"), 200, 700)
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.md5(found).alias("md5"))
 
 
@@ -110,7 +110,7 @@ QUERIES = {
     "jn29_resolved_entries": (jn29, _JN29),
     "ac9_select_sources": (ac9, _AC9),
     "wn11_interleaved_captions": (wn11, oracle("blocks", "SELECT doc, array_to_string(list(type ORDER BY idx), ' ') AS caption FROM blocks WHERE type = 'caption' GROUP BY doc")),
-    "st39_prompt_block": (st39, "WITH d AS (SELECT doc_id, string_split(text, chr(10))[1:3] AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(array_to_string(list_transform(l, lambda x, i: '[' || CAST(i AS VARCHAR) || '] ' || substr(x, 1, 20)), chr(10))) AS md5 FROM d"),
+    "st39_prompt_block": (st39, "WITH d AS (SELECT doc_id, string_split(text, chr(10))[1:200] AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(array_to_string(list_transform(l, lambda x, i: '[' || CAST(i AS VARCHAR) || '] ' || substr(x, 1, 700)), chr(10))) AS md5 FROM d"),
     "js1_json_strings": (js1, "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN 'fig ' || event_id || '|part|plain|f' END AS strings, CASE WHEN event_id % 9 <> 0 THEN 'fig ' || event_id || '|part|f' END AS captions FROM events"),
     "js3_object_in_text": (js3, """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN '{"paper_id":"p' || event_id || '","references":[1,{"a":"}"}]}' END AS found FROM events"""),
     "wn5_repaired_references": (wn5, _WN5),

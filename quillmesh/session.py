@@ -7,30 +7,41 @@ import re
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "quillmesh", cpus: str | int | None = None, **conf: str) -> SparkSession:
-    """A UTC session with adaptive execution; anything already set by spark-submit is kept."""
+    """A UTC session with adaptive execution. What spark-submit or a running session has set is kept; master, partitions and memory suit one machine where nothing is set."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app)
-    if "SPARK_MASTER" not in os.environ and "spark.master" not in conf:
-        builder = builder.master(f"local[{cpus}]")
     defaults = {
+        "spark.app.name": app,
+        "spark.master": f"local[{cpus}]",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": str(cpus),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
     }
-    for key, value in {**defaults, **conf}.items():
+    known = submitted()
+    if known.get("spark.master", "local").startswith("local"):
+        defaults |= {"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "8g"}
+    builder = SparkSession.builder
+    for key, value in {**{k: v for k, v in defaults.items() if k not in known}, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def submitted() -> dict[str, str]:
+    """The settings that spark-submit or a running context came with; none where Python itself starts Spark."""
+    if SparkContext._active_spark_context is None and "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return {}
+    SparkContext._ensure_initialized()  # the JVM is there; this only connects to it
+    active = SparkContext._active_spark_context
+    return dict((active.getConf() if active else SparkConf()).getAll())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse, or a temporary one if all tasks run in the driver (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,9 +12,16 @@ from quillmesh.session import table
 
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(method_id, name): distinct part names, numbered in order; the window runs over the distinct names only."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    return names.select(F.format_string("method_%04d", F.row_number().over(Window.orderBy("name"))).alias("method_id"), "name")
+    """(method_id, name): distinct part names, numbered in order.
+
+    Names are numbered among those of their first three letters, after the names of all groups before; groups are as few as
+    there are beginnings, whatever the names.
+    """
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("head", F.substring("name", 1, 3))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    before = names.groupBy("head").agg(F.count(F.lit(1)).alias("n")).select("head", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("head").orderBy("name")) + F.col("before")
+    return names.join(before, "head").select(F.format_string("method_%04d", at).alias("method_id"), "name")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
