@@ -69,7 +69,7 @@ def plain(blocks):
 @pytest.mark.parametrize("scale", [1.0, 1000.0])
 def test_random_pages_are_a_plain_loop(spark, scale):
     rng = random.Random(int(scale))
-    kinds = ["image_block", "image", "chart", "table", "table", "image_caption", "caption", "table_caption", "footnote", "image_footnote", "text", "header", "list", "code", None, "title"]
+    kinds = ["image_block", "image_block", "image_block", "image", "image", "image", "chart", "table", "table", "image_caption", "caption", "table_caption", "footnote", "image_footnote", "text", "header", "list", "code", None, "title"]
     rows = []
     for page in range(60):
         for idx in range(rng.randint(1, 24)):
