@@ -17,6 +17,7 @@ MARKERS = {"\\documentclass": 100, "\\begin{document}": 60, "\\title": 20, "\\ma
 BASENAMES = {"main.tex": 15, "paper.tex": 15, "article.tex": 15}
 UNLIKELY = {"supp": 15, "appendix": 15}
 DEPTH = 3
+README = "00readme.json"
 MOST_CONTEXTS = 200
 
 _INCLUDE = re.compile(r"\\(?:input|include)\s*\{([^{}]+)\}")
@@ -69,17 +70,35 @@ def inlined(main: str, files: dict[str, str]) -> tuple[str, list[str]]:
     return "".join(out), included
 
 
+def hinted(files: DataFrame) -> DataFrame:
+    """SC9: (package, hint): the .tex file that a package's 00README.json names as top level, as written or else by a base name that only one file has; the first source that is there counts."""
+    trimmed = lambda c: F.regexp_replace(c, r"^[./]+|[./]+$", "")
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    readme = files.filter(F.lower(base(F.col("name"))) == README)
+    told = F.from_json("content", "sources array<struct<usage:string, filename:string>>")["sources"]
+    wanted = readme.select("package", F.posexplode(told).alias("place", "s")).filter("s.usage = 'toplevel' and s.filename <> ''")
+    wanted = wanted.select(F.col("package").alias("p"), "place", trimmed(F.col("s.filename")).alias("wanted"))
+    own = files.filter(F.col("name").endswith(".tex")).select("package", "name", trimmed(F.col("name")).alias("path"))
+    same = own["package"].eqNullSafe(wanted["p"])
+    exact = own.join(wanted, same & (F.col("path") == F.col("wanted"))).select("package", "place", F.lit(0).alias("way"), "name")
+    alike = own.join(wanted, same & (base(F.col("path")) == base(F.col("wanted")))).groupBy("package", "place").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).filter("n = 1")
+    both = exact.unionByName(alike.select("package", "place", F.lit(1).alias("way"), "name"))
+    return both.groupBy("package").agg(F.min(F.struct("place", "way", "name")).alias("b")).select("package", F.col("b.name").alias("hint"))
+
+
 def assembled(files: DataFrame) -> DataFrame:
     """SC9: (package, main, source, included) of files(package, name, content): the .tex files of one paper meet in one row.
 
-    The file of the highest score is the main one, of equal ones the first by name; null contents are empty, and packages
-    without a .tex file stay out.
+    The main file is the one that 00README.json hints at, else the one of the highest score, of equal ones the first by name;
+    null contents are empty, and packages without a .tex file stay out.
     """
     own = files.filter(F.col("name").endswith(".tex")).select("package", "name", F.coalesce("content", F.lit("")).alias("content"))
     order = F.struct(main_score(F.col("name"), F.col("content")).alias("score"), F.col("name"))
     packed = own.groupBy("package").agg(F.array_sort(F.collect_list(F.struct("name", "content"))).alias("files"), F.max(order["score"]).alias("best"))
     names, texts = F.transform("files", lambda f: f["name"]), F.transform("files", lambda f: f["content"])
-    main = F.get(F.filter("files", lambda f: main_score(f["name"], f["content"]) == F.col("best")), 0)["name"]
+    main = F.coalesce("hint", F.get(F.filter("files", lambda f: main_score(f["name"], f["content"]) == F.col("best")), 0)["name"])
+    hints = hinted(files).withColumnRenamed("package", "__p")
+    packed = packed.join(hints, packed["package"].eqNullSafe(hints["__p"]), "left")
 
     @F.pandas_udf("source string, included array<string>")
     def run(mains: pd.Series, names: pd.Series, texts: pd.Series) -> pd.DataFrame:
