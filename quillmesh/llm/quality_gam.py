@@ -136,7 +136,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The model learns from labels of rows whose crc32(doc_id as text) mod 5 is not 0, at most TRAIN_ROWS of them; its inputs
     are shape features of the whole text. Null and empty texts have zero features and get a score like any other. Labels
-    other than 0 and 1 are ignored; rows of labels that repeat count each time. Without labels of both kinds the score is
+    other than 0 and 1 are ignored; a label stated twice for a doc_id counts once, and
+    contradictory ones count one row each. Without labels of both kinds the score is
     their smoothed share. Rows without a doc_id are scored and not held out; rows repeated exactly get equal scores. Long
     texts are measured whole. Columns besides doc_id and text are ignored, whatever their names; an empty table gives an
     empty one.
