@@ -80,9 +80,9 @@ def bm25(queries: DataFrame, texts: DataFrame, k1: float = 1.2, b: float = 0.75)
     return scored.groupBy("q", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def unit_rows(vectors) -> np.ndarray:
-    """Rows of doubles of length one; null rows become zeros."""
-    dims = max((len(v) for v in vectors if v is not None), default=0)
+def unit_rows(vectors, dims: int = 0) -> np.ndarray:
+    """Rows of doubles of length one; null rows become zeros, `dims` of them where no row tells how many."""
+    dims = max((len(v) for v in vectors if v is not None), default=dims)
     x = np.array([v if v is not None else [0.0] * dims for v in vectors], float).reshape(len(vectors), dims)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
@@ -105,7 +105,9 @@ def _nearest(asked, pool: int, kind: pa.DataType):
         for batch in batches:
             own = np.array(batch.column("id").to_pylist(), dtype=object)
             order = np.argsort(own, kind="stable") if len(own) else []
-            x, own = unit_rows(batch.column("embedding").to_pylist())[order], own[order]
+            x, own = unit_rows(batch.column("embedding").to_pylist(), matrix.shape[1])[order], own[order]
+            if not matrix.shape[1]:  # all queries of the block are null: each is a row of zeros
+                matrix = np.zeros((len(ids), x.shape[1]))
             step = max(1, CELLS // max(1, len(x)))
             for at in range(0, len(ids) if len(x) else 0, step):
                 sims = np.round((1 + x @ matrix[at : at + step].T) / 2, 9)
