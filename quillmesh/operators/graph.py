@@ -77,6 +77,43 @@ def papers_by_shared_method(edges: DataFrame, method: str) -> DataFrame:
     return side("target", "paper").join(side("baseline", "other"), "v").filter("paper < other").select("paper", "other").distinct()
 
 
+def shared_members(edges: DataFrame) -> DataFrame:
+    """JN8, factorised: (method, version, paper, target, baseline): the papers of each method and version, once, with the roles their experiments give it.
+
+    Every pair of papers that a path paper - experiment - method - experiment - paper joins is a target and a baseline of
+    one group; as members of groups the pairs take as many rows as there are papers, however popular a method is.
+    """
+    of = edges.filter("type = 'EVALUATES'").select(F.col("src").alias("e"), F.col("dst").alias("method"), "version", "role")
+    paper = edges.filter("type = 'FROM'").select(F.col("src").alias("e"), F.col("dst").alias("paper"))
+    has = lambda role: F.max((F.coalesce(F.col("role"), F.lit("")) == role).cast("int"))
+    return of.join(paper, "e").groupBy("method", "version", "paper").agg(has("target").alias("target"), has("baseline").alias("baseline")).filter("target + baseline > 0")
+
+
+def shared_counts(members: DataFrame) -> DataFrame:
+    """JN8: (method, version, n_targets, n_baselines, n_pairs) of shared_members; pairs are a target paper and a baseline paper after it, counted without writing them out.
+
+    For each target it takes the baselines behind it: those of later ranges of the group by their sums, those of its own range by
+    a running count, so no group fills a task.
+    """
+    ranges = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // RANGE_ROWS + 1)
+    cut = settled(members.repartitionByRange(ranges, "method", "version", "paper").withColumn("range", F.spark_partition_id()))
+    group = ["method", "version"]
+    later = Window.partitionBy(*group).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*group, "range").agg(F.sum("baseline").alias("n")).select(F.col("method").alias("m"), F.col("version").alias("v"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("beyond"))
+    behind = F.coalesce(F.sum("baseline").over(Window.partitionBy(*group, "range").orderBy(F.desc("paper")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = cut.withColumn("behind", behind).join(sums, F.col("method").eqNullSafe(F.col("m")) & F.col("version").eqNullSafe(F.col("v")) & (F.col("range") == F.col("r")))
+    return rows.groupBy(*group).agg(F.sum("target").alias("n_targets"), F.sum("baseline").alias("n_baselines"), F.sum(F.col("target") * (F.col("behind") + F.col("beyond"))).alias("n_pairs"))
+
+
+def shared_pairs(members: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """JN8: (method, version, paper, other) with paper < other, of the groups of at most `most` pairs; larger ones stay as shared_members has them."""
+    small = shared_counts(members).filter(F.col("n_pairs") <= most).select(F.col("method").alias("m"), F.col("version").alias("v"))
+    own = members.join(small, F.col("method").eqNullSafe(F.col("m")) & F.col("version").eqNullSafe(F.col("v"))).drop("m", "v")
+    other = own.filter("baseline = 1").select(F.col("method").alias("m"), F.col("version").alias("v"), F.col("paper").alias("other"))
+    met = own.filter("target = 1").join(other, F.col("method").eqNullSafe(F.col("m")) & F.col("version").eqNullSafe(F.col("v")) & (F.col("paper") < F.col("other")))
+    return met.select("method", "version", "paper", "other")
+
+
 def methods_with_models(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """JN9: (method, n_models, n_experiments), most models first; experiments are optional."""
     models = edges.filter("type = 'IMPLEMENTS'").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_models"))
