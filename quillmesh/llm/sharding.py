@@ -129,13 +129,12 @@ def crc_sql(blob: str) -> str:
 
 
 def shard_sql(shards: int = SHARDS) -> str:
-    first = hash_sql("SELECT row_number() OVER () AS r, doc_id FROM documents WHERE doc_id IS NOT NULL", "doc_id", "42::UHUGEINT", "k", "r")
-    # the key is hashed as a signed number: its bits are what counts
-    first = f"SELECT r, k FROM ({first}) UNION ALL SELECT r, 42::UHUGEINT FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) WHERE doc_id IS NULL"
+    first = hash_sql("SELECT r, doc_id FROM d WHERE doc_id IS NOT NULL", "doc_id", "42::UHUGEINT", "k", "r")
+    first = f"SELECT r, k FROM ({first}) UNION ALL SELECT r, 42::UHUGEINT FROM d WHERE doc_id IS NULL"
     again = hash_sql(first, "k", "42::UHUGEINT", "k2", "r")
     drawn = hash_sql(f"SELECT r, k2, i FROM ({again}), range({shards + 1}) t(i)", "i", "k2", "h", "r, i")
     return f"""WITH crc AS (SELECT {CRC_TABLE} AS t),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 drawn AS (SELECT r, i, h // {1 << 17}::UHUGEINT * {MOST_SHARDS}::UHUGEINT + {MOST_SHARDS - 1}::UHUGEINT - i::UHUGEINT AS v FROM ({drawn})),
 best AS (SELECT r, arg_max(i, v) FILTER (WHERE i < {shards}) AS shard, arg_max(i, v) AS grown FROM drawn GROUP BY r),
 placed AS (SELECT d.doc_id, strlen(text) + 16 AS size, {crc_sql('encode(text)')} AS text_crc32, shard, grown FROM d JOIN best USING (r), crc)
