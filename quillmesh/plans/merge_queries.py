@@ -15,7 +15,7 @@ from quillmesh.session import shared_folder, table
 from quillmesh.sources import adapters as a
 from quillmesh.sources import files
 from quillmesh.sources.adapters import oracle
-from quillmesh.streaming import states
+from quillmesh.streaming import stages, states
 
 
 def jn26(spark, sf_dir):
@@ -104,7 +104,35 @@ def stream_windows(spark, sf_dir):
     return _streamed(spark, sf_dir, change, ["start", "event_type"])
 
 
+#: How many appends the log of stages comes in.
+APPENDS = 4
+
+
+def stream_stages(spark, sf_dir):
+    """Events as a log of stages that comes in appends, in the order of time, each a batch or more of its own."""
+    path = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    log = table(spark, sf_dir, "events").selectExpr("user_id AS paper", "event_type AS stage", "CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'done' END AS status", "cast(ts AS timestamp) AS at", "event_id AS seq")
+    first, last = log.agg(F.unix_seconds(F.min("at")), F.unix_seconds(F.max("at")) + 1).first()
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", states.STORE)
+    second = F.unix_seconds("at")
+    for i in range(APPENDS if first is not None else 0):
+        lower, upper = (first + (last - first) * k // APPENDS for k in (i, i + 1))
+        log.filter((second >= lower) & (second < upper)).write.mode("append").parquet(f"{path}/log")
+        changes = stages.stage_changes(own.readStream.schema(log.schema).parquet(f"{path}/log"), "6 hours", "1 hour")
+        states.into_batches(changes, f"{path}/out", f"{path}/checkpoint")
+    if first is None:
+        return stages.stage_totals(log, "1970-01-01")
+    return stages.stage_states(spark.read.parquet(f"{path}/out").drop("batch")).withColumn("at", F.unix_micros("at"))
+
+
+_STAGES = """WITH s AS (SELECT user_id AS paper, event_type AS stage, max(ts) AS t, arg_max(event_id, (ts, event_id)) AS seq FROM events GROUP BY ALL)
+SELECT paper, stage, CASE WHEN seq % 3 = 0 THEN 'failed' ELSE 'done' END AS status, epoch_us(t) AS "at", seq, max(t) OVER (PARTITION BY paper) + INTERVAL 6 HOUR < (SELECT max(t) FROM s) - INTERVAL 1 HOUR AS stale FROM s"""
+
 QUERIES = {
+    "sk6_stage_states": (stream_stages, _STAGES),
     "jn26_semantic_update": (jn26, "SELECT p_partkey, p_type AS role, 'k' AS key, CASE WHEN p_partkey % 2 = 0 THEN 'key,line' ELSE 'key,page' END AS rejected FROM part"),
     "jn24_resolved_assets": (jn24, _JN24),
     "jn29_resolved_entries": (jn29, _JN29),

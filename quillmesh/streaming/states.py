@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The state store that streams with state of their own and timers need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def running_latest(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     """SK4, SK6: the last entry of each key of a stream; its state is one entry a key."""
