@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 # Commands and environments that count.
 CITES = ("cite", "Cite", "citep", "Citet", "Citep", "citet", "citealt", "citealp", "citeauthor", "parencite", "textcite")
+GRAPHICS = ("includegraphics",)
 LEVELS = ("section", "subsection", "subsubsection")
 # Commands whose last argument is text, with how many arguments they take, and those that part names.
 STYLED = {"url": 1, "texttt": 1, "textbf": 1, "emph": 1, "textit": 1, "textcolor": 2}
@@ -154,9 +155,9 @@ def braced(text: str, at: int) -> tuple[str, int] | None:
     return (text[at + 1 : at + group.end - 1], at + group.end) if group.closed else None
 
 
-def without_comments(c: Column) -> Column:
-    """ST27: each line up to its first % that no backslash escapes; lines end at \\n."""
-    return F.regexp_replace(c, r"(^|[^\\])((?:\\\\)*)%[^\n]*", "$1$2")
+def without_comments(c: Column, kept: str = "") -> Column:
+    """ST27: each line up to its first % that no backslash escapes; lines end at \\n. Comments that begin with the pattern `kept` stay."""
+    return F.regexp_replace(c, r"(^|[^\\])((?:\\\\)*)%" + (f"(?!{kept})" if kept else "") + r"[^\n]*", "$1$2")
 
 
 def _first(nodes: list[Node], command: str) -> str:
@@ -222,25 +223,26 @@ def _sentence(text: str, stops: list[int], start: int, end: int) -> str:
     return plain(text[left:right])
 
 
+_FIGURE = re.compile(r"\\begin\{(figure\*?)\}")
 _BEGIN = re.compile(r"\\begin\{(abstract|figure\*?|table\*?)\}")
 _CITE = re.compile(rf"\\({'|'.join(CITES)})(?:\s*\[[^\]]*\]){{0,2}}\s*\{{([^{{}}]+)\}}")
 
 
-def _environments(text: str) -> Iterator[tuple[str, str]]:
-    """(name, body) of abstracts and floats that end, those inside another one left out."""
+def _environments(text: str, begin: re.Pattern[str] = _BEGIN) -> Iterator[tuple[str, int, str]]:
+    """(name, start, body) of abstracts and floats that end, those inside another one left out."""
     at = 0
-    while (m := _BEGIN.search(text, at)) is not None:
+    while (m := begin.search(text, at)) is not None:
         end = text.find(f"\\end{{{m[1]}}}", m.end())
         at = m.end() if end < 0 else end
         if end >= 0:
-            yield m[1].rstrip("*"), text[m.end() : end]
+            yield m[1], m.start(), text[m.end() : end]
 
 
 def structure(text: str) -> dict:
     """ST29: title, authors, abstract, sections, floats and citations of a source without comments."""
     nodes = tree(text)
     heads = [(c.start, c.value.rstrip("*"), words_of(a.inner)) for c, a in uses(nodes, *LEVELS)]
-    bodies = [(name, body, tree(body)) for name, body in _environments(text)]
+    bodies = [(name.rstrip("*"), body, tree(body)) for name, _, body in _environments(text)]
     floats = [{"kind": name, "label": next((body[a.start + 1 : a.end - 1] for _, a in uses(inside, "label") if a.inner), ""), "caption": _first(inside, "caption")} for name, body, inside in bodies if name != "abstract"]
     stops = [m.start() for m in re.finditer(r"(?=\. |\n\n|; )", text)]
     starts = [h[0] for h in heads]
@@ -275,6 +277,48 @@ def tex_structure(c: Column) -> Column:
     return run(F.coalesce(without_comments(c), F.lit("")))
 
 
+def _pictures(nodes: list[Node], text: str) -> Iterator[str]:
+    """The paths of included graphics and of pictures that are drawn over, in order."""
+    for level, at in walk(nodes):
+        n = level[at]
+        if n.kind != "command" or n.value.rstrip("*") not in (*GRAPHICS, "begin"):
+            continue
+        found, after = _arguments(level, at, 1)
+        if n.value == "begin":
+            over = bool(found) and text[found[0].start + 1 : found[0].end - 1] == "overpic"
+            found, _ = _arguments(level, after - 1, 1) if over else ([], 0)
+        if found and found[0].closed and (path := text[found[0].start + 1 : found[0].end - 1].strip()):
+            yield path
+
+
+def figures(text: str) -> dict:
+    """ST38: the figures of a source, with the file that each stands in ('' for the main one), and the folders of its pictures."""
+    nodes = tree(text)
+    folders = [text[g.start + 1 : g.end - 1].strip() for _, a in uses(nodes, "graphicspath") for g in a.inner if g.kind == "group" and g.closed]
+    marks = [(m.start(), m[1].strip()) for m in re.finditer(r"% BEGIN included from ([^\n]+)", text)]
+    places = [m[0] for m in marks]
+    found = []
+    for n, (name, start, body) in enumerate(_environments(text, _FIGURE), 1):
+        inside = tree(body)
+        label = next((body[a.start + 1 : a.end - 1] for _, a in uses(inside, "label") if a.inner), "")
+        before = bisect_right(places, start)
+        found.append({"n": n, "environment": name, "label": label, "label_text": plain(label), "caption": _first(inside, "caption"), "file": marks[before - 1][1] if before else "", "pictures": list(_pictures(inside, body))})
+    return {"folders": [f for f in folders if f], "figures": found}
+
+
+FIGURES = "folders array<string>, figures array<struct<n:int, environment:string, label:string, label_text:string, caption:string, file:string, pictures:array<string>>>"
+
+
+def tex_figures(c: Column) -> Column:
+    """ST38: the figures of a TeX source put together from its files, as a struct; null texts have none."""
+
+    @F.pandas_udf(FIGURES)
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([figures(x) for x in s], columns=["folders", "figures"])
+
+    return run(F.coalesce(without_comments(c, r" (?:BEGIN|END) included from "), F.lit("")))
+
+
 def plain_tex(c: Column) -> Column:
     """ST27: TeX as plain text; null stays null."""
 
