@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import html_text as ht
 from quillmesh.functions import json_text as js
-from quillmesh.operators import records
+from quillmesh.operators import merging, records
 from quillmesh.operators import reports as p
 from quillmesh.plans.report_queries import _rows
 from quillmesh.session import shared_folder, table
@@ -190,3 +190,25 @@ def sc11(spark, sf_dir):
 QUERIES["ac13_comparable_pairs"] = (ac13, _AC13)
 QUERIES["sc8_xml_source"] = (sc8, "SELECT CAST(c_custkey AS BIGINT) AS id, c_name || ' & more' AS title, CASE WHEN c_custkey % 2 = 0 THEN 'A' || c_custkey || ',B' ELSE '' END AS authors FROM customer")
 QUERIES["sc11_paged_references"] = (sc11, "SELECT c_custkey // 4 AS paper, CAST((c_custkey % 4) * 2 AS BIGINT) AS place, c_name AS item FROM customer WHERE c_custkey % 4 <> 3 UNION ALL SELECT c_custkey // 4, CAST((c_custkey % 4) * 2 + 1 AS BIGINT), 'x' || c_custkey FROM customer WHERE c_custkey % 4 <> 3")
+
+
+_MERGE_KEYS = ("CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey // 16 END", "CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END", "CASE WHEN o_orderkey % 5 < 2 THEN concat(o_orderpriority, substr(cast(o_orderdate AS VARCHAR), 1, 10)) END")
+
+
+def jn10_merged(spark, sf_dir):
+    """Orders as records with up to three keys: an id, a link and a name."""
+    keys = [F.expr(k.replace("//", "div").replace("VARCHAR", "STRING")) for k in _MERGE_KEYS]
+    rows = table(spark, sf_dir, "orders").withColumn("title", F.expr("CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus END")).withColumn("tags", F.array("o_orderpriority"))
+    found = merging.merged_records(rows, "o_orderkey", ["o_orderkey"], keys, ["title", "o_totalprice"], ["tags"])
+    return found.select("o_orderkey", "title", F.col("o_totalprice").alias("price"), F.array_join("tags", ",").alias("tags"), "n_rows")
+
+
+_JN10_MERGED = f"""WITH RECURSIVE k AS (SELECT o_orderkey AS id, unnest([1, 2, 3]) AS rank, unnest([CAST({_MERGE_KEYS[0]} AS VARCHAR), CAST({_MERGE_KEYS[1]} AS VARCHAR), {_MERGE_KEYS[2]}]) AS key FROM orders),
+b AS (SELECT id, rank, lag(id) OVER (PARTITION BY rank, key ORDER BY id) AS prior FROM k WHERE key IS NOT NULL), t AS (SELECT id, arg_min(prior, rank) AS prior FROM b WHERE prior IS NOT NULL GROUP BY id),
+r AS (SELECT o_orderkey AS id, o_orderkey AS root FROM orders WHERE o_orderkey NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, r.root FROM r JOIN t ON t.prior = r.id),
+m AS (SELECT root, o.*, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS title FROM r JOIN orders o ON o.o_orderkey = r.id),
+g AS (SELECT root, arg_min(title, o_orderkey) FILTER (title IS NOT NULL) AS title, arg_min(o_totalprice, o_orderkey) AS price, count(*) AS n_rows FROM m GROUP BY root),
+p AS (SELECT root, o_orderpriority AS tag, min(o_orderkey) AS first FROM m GROUP BY ALL)
+SELECT g.root AS o_orderkey, title, price, (SELECT string_agg(tag, ',' ORDER BY first) FROM p WHERE p.root = g.root) AS tags, n_rows FROM g"""
+
+QUERIES["jn10_merged_records"] = (jn10_merged, _JN10_MERGED)
