@@ -25,7 +25,7 @@ def _text(data: bytes) -> str:
         return data.decode("latin-1")
 
 
-def _safe(name: str) -> str | None:
+def safe_name(name: str) -> str | None:
     """The name of a member below its archive; None where it leads out."""
     path = normpath(name.lstrip("/"))
     return None if path == ".." or path.startswith("../") else path
@@ -42,7 +42,7 @@ def members(package: str, data: bytes, suffixes: tuple[str, ...]):
             for member in archive:
                 if not member.isfile():
                     continue
-                name = _safe(member.name)
+                name = safe_name(member.name)
                 if name is None:
                     yield package, member.name, member.size, None, "name leads out of the archive"
                     continue
