@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 
-MODULES = ("graph_queries", "text_queries", "retrieval_queries", "bibliography_queries", "report_queries", "commit_queries", "merge_queries", "anchor_queries", "candidate_queries", "paper_queries", "package_queries", "page_queries", "search_queries", "format_queries", "validation_queries", "figure_queries", "sink_queries")
+MODULES = ("graph_queries", "text_queries", "retrieval_queries", "bibliography_queries", "report_queries", "commit_queries", "merge_queries", "anchor_queries", "candidate_queries", "paper_queries", "package_queries", "page_queries", "search_queries", "format_queries", "validation_queries", "figure_queries", "sink_queries", "role_queries")
 
 
 def modules() -> list:
