@@ -1,11 +1,11 @@
-"""Queries that write records and read them back, with their SQL."""
+"""Queries that write records and read them back, and of folders of papers, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quillmesh.session import scratch, table
-from quillmesh.sources import sinks
+from quillmesh.sources import folders, sinks
 
 
 def sk3_yaml(spark, sf_dir):
@@ -31,4 +31,19 @@ def sk3_files(spark, sf_dir):
 
 _SK3_FILES = "WITH f AS (SELECT *, '# ' || s_name || chr(10) || (s_acctbal > 0) || ' é' AS content FROM supplier) SELECT 'n' || s_nationkey || '/s' || s_suppkey || '.md' AS name, CAST(octet_length(encode(content)) AS BIGINT) AS length, md5(content) AS md5 FROM f"
 
-QUERIES = {"sk3_yaml_records": (sk3_yaml, _SK3_YAML), "sk3_record_files": (sk3_files, _SK3_FILES)}
+_ROOT = "concat('/in/r', doc_id % 60)"
+#: Where a document lies below its root; it has a list, a text under its paper's name or another one, or a picture.
+_FOLDER = "CASE WHEN doc_id % 60 < 20 AND doc_id % 7 = 0 THEN 'vlm/' WHEN doc_id % 60 BETWEEN 10 AND 30 AND doc_id % 5 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'deep/er/vlm/' ELSE concat('p', doc_id % 3, '/vlm/') END"
+_NAME = "CASE doc_id % 4 WHEN 0 THEN concat('d', doc_id, '_content_list.json') WHEN 1 THEN concat('d', doc_id, '.md') WHEN 2 THEN concat('p', doc_id % 3, '.md') ELSE 'x.png' END"
+
+
+def sc4(spark, sf_dir):
+    """Documents as files below sixty roots, of which some have a folder of their own, files of their own, or folders of papers."""
+    return folders.paper_folders(table(spark, sf_dir, "documents").selectExpr(f"{_ROOT} AS root", f"concat({_FOLDER}, {_NAME}) AS path"))
+
+
+_SC4 = f"""WITH f AS (SELECT {_ROOT} AS root, rtrim({_FOLDER}, '/') AS folder, {_NAME} AS name FROM documents), k AS (SELECT *, bool_or(folder = 'vlm') OVER r AS vlm, bool_or(folder = '' AND name <> 'x.png') OVER r AS own FROM f WINDOW r AS (PARTITION BY root)),
+w AS (SELECT *, CASE WHEN vlm THEN split_part(root, '/', 3) WHEN own THEN 'in' ELSE split_part(folder, '/', 1) END AS paper_id FROM k WHERE CASE WHEN vlm THEN folder = 'vlm' WHEN own THEN folder = '' ELSE folder LIKE 'p_/vlm' END)
+SELECT root, folder, paper_id, min(name) FILTER (name LIKE '%json') AS content_list, coalesce(min(name) FILTER (name = paper_id || '.md'), min(name) FILTER (name LIKE '%.md')) AS markdown FROM w GROUP BY root, folder, paper_id"""
+
+QUERIES = {"sc4_paper_folders": (sc4, _SC4), "sk3_yaml_records": (sk3_yaml, _SK3_YAML), "sk3_record_files": (sk3_files, _SK3_FILES)}
