@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def walk(value, captions_only: bool, inside: bool = False) -> Iterator[str]:
@@ -61,3 +62,36 @@ def json_object_in(text: Column, keys: tuple[str, ...]) -> Column:
         return s.map(lambda x: first_object(x, keys))
 
     return run(F.when(F.contains(text, F.lit("{")), text))
+
+
+def canonical_json(c: Column, kind: T.DataType) -> Column:
+    """HA1: a value as JSON that depends on its content alone: names sorted, `, ` and `: ` between, nulls written.
+
+    Structs are sorted by their fields' names, maps by their keys; numbers are whole or decimal ones, as floating ones have no one text.
+    """
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        pairs = [F.concat(_text(F.lit(f.name)), F.lit(": "), canonical_json(c[f.name], f.dataType)) for f in fields]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_json(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        keyed = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("k"), canonical_json(e["value"], kind.valueType).alias("v"))))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(keyed, lambda e: F.concat(_text(e["k"]), F.lit(": "), e["v"])), ", "), F.lit("}"))
+    elif isinstance(kind, T.FloatType | T.DoubleType):
+        raise TypeError("floating numbers have no canonical text: cast them to decimals or texts")
+    elif isinstance(kind, T.NumericType | T.BooleanType):
+        text = c.cast("string")
+    else:
+        text = _text(c.cast("string"))
+    return F.when(c.isNull(), "null").otherwise(text)
+
+
+def _text(c: Column) -> Column:
+    listed = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+def payload_hash(c: Column, kind: T.DataType) -> Column:
+    """HA1: the SHA-256 of a value's canonical JSON."""
+    return F.sha2(F.encode(canonical_json(c, kind), "UTF-8"), 256)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions import json_text as js
 from quillmesh.functions import text as t
 from quillmesh.session import table
 from quillmesh.sources import adapters as a
@@ -107,6 +108,14 @@ def rt10(spark, sf_dir):
     return p.select("p_partkey", text.alias("text"), t.embedding_key(F.lit("model-1"), text).alias("embedding_key"))
 
 
+def ha1_payload(spark, sf_dir):
+    """Orders as payloads with a list, a map and nulls; their fields are named out of order."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "named_struct('z', CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END, 'key', o_orderkey, 'm', map('b', o_orderkey % 2 = 0, 'a', true), 'A', transform(sequence(1, 1 + int(o_custkey % 3)), i -> concat(o_orderstatus, '\"', i))) AS p")
+    return o.select("o_orderkey", js.payload_hash(F.col("p"), o.schema["p"].dataType).alias("hash"))
+
+
+_HA1_PAYLOAD = """SELECT o_orderkey, sha256('{"A": [' || array_to_string(list_transform(range(1, 2 + o_custkey % 3), lambda i: '"' || o_orderstatus || '\\"' || i || '"'), ', ') || '], "key": ' || o_orderkey || ', "m": {"a": true, "b": ' || (o_orderkey % 2 = 0) || '}, "z": ' || CASE WHEN o_custkey % 3 > 0 THEN '"' || o_orderpriority || '"' ELSE 'null' END || '}') AS hash FROM orders"""
+
 QUERIES = {
     "st1_name_normalize": (_of(lambda s: t.normalize_name(F.concat(F.lit("  A\u00a0e\u0301  "), s, F.lit("\u3000")))), f"WITH {_Q} SELECT doc_id, {_WS_SQL.format('(chr(32) || chr(32) || chr(65) || chr(160) || chr(101) || chr(769) || chr(32) || chr(32) || s || chr(12288))')} AS v FROM q"),
     "st2_name_key": (_of(lambda s: t.name_key(s, F.lit("Method"), F.lit("global"))), f"WITH {_Q} SELECT doc_id, {_WS_SQL.format('s')} || '|Method|global' AS v FROM q"),
@@ -135,6 +144,7 @@ QUERIES = {
     "rt8_tokens": (lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(t.tokens(F.col("text")), " ").alias("v")), "SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS v FROM documents"),
     "rt10_embedding_text": (rt10, "WITH e AS (SELECT p_partkey, p_name || CASE WHEN p_size > 25 THEN chr(10) || 'Also known as: ' || p_brand || ', ' || p_type ELSE '' END || chr(10) || p_type AS text FROM part) SELECT p_partkey, text, substr(sha1('model-1' || chr(10) || text), 1, 16) AS embedding_key FROM e"),
     "ha1_hashes": (lambda s, d: table(s, d, "documents").select("doc_id", F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"), F.length(t.crc_hex(F.col("text"))).alias("crc_digits")), "SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256, 8 AS crc_digits FROM documents"),
+    "ha1_payload_hash": (ha1_payload, _HA1_PAYLOAD),
     "ag21_token_estimate": (lambda s, d: table(s, d, "documents").select("doc_id", t.estimated_tokens(F.col("text")).alias("v")), "SELECT doc_id, CAST(strlen(text) // 4 AS BIGINT) AS v FROM documents"),
     "ma1_box_geometry": (ma1, oracle("blocks", "SELECT doc, idx, round((x1 - x0) * (y1 - y0), 9) AS area, round(greatest(0.0, least(x1, 0.4::DOUBLE) - greatest(x0, 0.1::DOUBLE)) * greatest(0.0, least(y1, 0.4::DOUBLE) - greatest(y0, 0.1::DOUBLE)) / ((x1 - x0) * (y1 - y0)), 9) AS overlap FROM blocks")),
     "ma3_cosine_to_unit": (lambda s, d: table(s, d, "embeddings").select("vec_id", F.round((1 + F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda p, x: p + x * x)) / 2, 5).alias("v")), "SELECT vec_id, round((1 + list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) / 2, 5) AS v FROM embeddings"),
