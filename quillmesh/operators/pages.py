@@ -6,6 +6,7 @@ order; (doc, page, idx) is unique. Every step is a join or a window within a pag
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,12 +67,12 @@ def absorbed(blocks: DataFrame, least: float = ABSORBED) -> DataFrame:
     return found.select(*PAGE, "idx", "container", t.relative_box(_corners("inner"), _corners("outer")).alias("bbox_in_parent"))
 
 
-def owners(blocks: DataFrame, by: list[str]) -> DataFrame:
+def owners(blocks: DataFrame, by: list[str], between: Callable[[tuple, tuple], Column] = t.box_centre_distance) -> DataFrame:
     """blocks(by, idx, kind, type, box) with parent: the visual block that a caption or footnote belongs to, null where none is next to it; blocks of null kind are passed over.
 
     A caption belongs to a visual block next to it with captions alone between them, a footnote to one before it with
     captions and footnotes alone between. Of two, the one with the smaller gap between the boxes; if these are equal up to
-    EDGE_TOLERANCE, the later of two tables, else the nearer centre, then the earlier. Each block sees its neighbours
+    EDGE_TOLERANCE, the later of two tables, else the nearer centre by `between`, then the earlier. Each block sees its neighbours
     through windows that run forwards and backwards over the page once; no pairs of blocks are formed.
     """
     before = Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +82,7 @@ def owners(blocks: DataFrame, by: list[str]) -> DataFrame:
     seen = blocks.withColumns({"prev": F.last(body, ignorenulls=True).over(before), "next": F.last(body, ignorenulls=True).over(after), "above": F.last(F.when(~F.col("kind").isin("caption", "footnote"), own), ignorenulls=True).over(before)})
     seen = seen.withColumns({c: F.when(F.col(f"{c}.kind") == "visual", F.col(c)) for c in ("prev", "next", "above")})
     gap = {c: t.box_gap(_corners(), _corners(c)) for c in ("prev", "next")}
-    centre = {c: t.box_centre_distance(_corners(), _corners(c)) for c in ("prev", "next")}
+    centre = {c: between(_corners(), _corners(c)) for c in ("prev", "next")}
     later = F.when(F.abs(gap["prev"] - gap["next"]) > EDGE_TOLERANCE, gap["next"] < gap["prev"]).when((F.col("prev.type") == "table") & (F.col("next.type") == "table"), True).otherwise(centre["next"] < centre["prev"])
     caption = F.when(F.col("prev").isNull() | (F.col("next").isNotNull() & later), F.col("next.idx")).otherwise(F.col("prev.idx"))
     parent = F.when(F.col("kind") == "caption", caption).when(F.col("kind") == "footnote", F.col("above.idx"))
