@@ -44,3 +44,15 @@ def test_holders_are_gathered_once(spark):
     queries = spark.range(30).select(F.col("id").alias("q"), F.lit("url:x").alias("identifier"), F.lit("m").alias("mention"), F.lit("K").alias("kind"), F.lit("read").alias("mode"))
     found = r._hits(queries, nodes, keys, "global")
     assert [(len(x["h"]), len(x["a"]), x["key_status"]) for x in found.collect()] == [(50, 50, "ambiguous")] * 30
+
+
+def test_a_word_does_not_carry_its_text(spark):
+    """The array of words is counted below the explode: carried along, a long text would be copied for each of its words."""
+    import re
+
+    from quillmesh.operators.text_index import words_of
+
+    texts = spark.createDataFrame([(1, "rings and bolts " * 3)], "id long, text string")
+    plan = words_of(texts, "id")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Generate explode\(words#\d+\), \[id#\d+L, len#\d+\]", plan), plan
+    assert words_of(texts, "id").groupBy("len").count().collect()[0][:] == (6, 6)
