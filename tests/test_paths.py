@@ -29,3 +29,18 @@ def test_groups_equal_pairs(spark, monkeypatch):
     pairs = Counter((r.method, r.version, r.paper, r.other) for r in g.shared_pairs(members, most).collect())
     assert pairs == Counter((*k, p, q) for k, w in want.items() if len(w) <= most for p, q in w)
     assert any(k[0] == "hub" and len(w) > most for k, w in want.items())
+
+
+def test_pairs_of_one_method_are_spread_and_written_once(spark, monkeypatch):
+    monkeypatch.setattr(g, "BLOCK_PAPERS", 5)
+    rng = random.Random(5)
+    edges = [(f"e{i}", "FROM", f"p{rng.randrange(40):02}", None, None) for i in range(500)]
+    edges += [(f"e{i}", "EVALUATES", rng.choice(["m", "n"]), rng.choice(["target", "baseline", None]), rng.choice(["1", "2", "3", None])) for i in range(500)]
+    paper = {s: o for s, t, o, _, _ in edges if t == "FROM"}
+    side = lambda role: {(v, paper[s]) for s, t, o, r, v in edges if t == "EVALUATES" and o == "m" and r == role and v}
+    want = {(p, q) for v, p in side("target") for w, q in side("baseline") if v == w and p < q}
+    pairs = g.papers_by_shared_method(spark.createDataFrame(edges, "src string, type string, dst string, role string, version string"), "m")
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "block" in plan  # pairs are not gathered again, and a version is not one key
