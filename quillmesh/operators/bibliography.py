@@ -61,14 +61,28 @@ LEAST_LETTERS = 5
 def cited_references(citations: DataFrame, references: DataFrame) -> DataFrame:
     """JN12: (citation, rung, n_refs, first_ref) of citations(citation, paper, surname, year) in references(ref, paper, surname, year).
 
-    The first rung that finds anything decides: the same year with its suffix, then the same year without it.
+    The first rung that finds anything decides: the same year with its suffix, then the same year without it. References are
+    counted once for each paper, surname and year, and a citation of one row meets these counts; only citations of several rows meet
+    the references themselves, as one of these may answer several rows.
     """
     base = lambda c: F.substring(c, 1, 4)
-    refs = references.select("ref", F.col("paper").alias("p"), F.col("surname").alias("s"), F.col("year").alias("y"))
-    met = citations.join(refs, (F.col("paper") == F.col("p")) & (F.col("surname") == F.col("s")) & (base(F.col("year")) == base(F.col("y"))))
+    several = citations.groupBy("citation").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("citation").alias("c"))
+    same = F.col("citation").eqNullSafe(F.col("c"))
+
+    named = references.select("ref", F.col("paper").alias("p"), F.col("surname").alias("s"), F.col("year").alias("y"), base(F.col("year")).alias("b")).filter("y is not null")
+    tally = lambda *by: named.groupBy(*by).agg(F.countDistinct("ref").alias("n_refs"), F.min("ref").alias("first_ref"))
+    exact = tally("p", "s", "y").select("p", "s", "y", F.struct(F.lit(1).alias("rung"), "n_refs", "first_ref").alias("one"))
+    loose = tally("p", "s", "b").select("p", "s", "b", F.struct(F.lit(2).alias("rung"), "n_refs", "first_ref").alias("two"))
+    single = citations.join(several, same, "left_anti")
+    by_year = single.join(loose, (F.col("paper") == F.col("p")) & (F.col("surname") == F.col("s")) & (base(F.col("year")) == F.col("b"))).drop("p", "s", "b")
+    by_year = by_year.join(exact, (F.col("paper") == F.col("p")) & (F.col("surname") == F.col("s")) & (F.col("year") == F.col("y")), "left")
+    found = by_year.select("citation", F.coalesce("one", "two").alias("b")).select("citation", "b.*")
+
+    rows = citations.join(several, same, "left_semi").distinct()
+    met = rows.join(named, (F.col("paper") == F.col("p")) & (F.col("surname") == F.col("s")) & (base(F.col("year")) == F.col("b")))
     rung = F.when(F.col("year") == F.col("y"), 1).otherwise(2)
     best = met.groupBy("citation", rung.alias("rung")).agg(F.countDistinct("ref").alias("n_refs"), F.min("ref").alias("first_ref"))
-    return best.groupBy("citation").agg(F.min(F.struct("rung", "n_refs", "first_ref")).alias("b")).select("citation", "b.*")
+    return found.unionByName(best.groupBy("citation").agg(F.min(F.struct("rung", "n_refs", "first_ref")).alias("b")).select("citation", "b.*"))
 
 
 def alike_references(citations: DataFrame, references: DataFrame) -> DataFrame:
