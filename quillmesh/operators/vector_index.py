@@ -3,8 +3,8 @@
 Centroids are fitted on a sample of at most SAMPLE vectors, a documented bound; every vector is indexed. A vector is filed
 under its nearest centroid as the difference to it, in one byte a component. A search visits the `probe` cells nearest to
 each query, ranks what it finds there by the codes, and ranks the best `deep` times `pool` again by the vectors themselves.
-A cell is cut into chunks, so one of any size is read by many tasks; queries meet chunks, never vectors one by one. The
-exact path is retrieval.semantic.
+A cell is cut into chunks, so one of any size is read by many tasks; queries meet chunks, never vectors one by one, and a
+task passes on the best of each query, not of each chunk. The exact path is retrieval.semantic.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillmesh.operators.retrieval import best_rows, top, unit_rows
+from quillmesh.operators.retrieval import best_rows, kept, top, unit_rows
 from quillmesh.session import settled
 
 SAMPLE = 50_000
@@ -24,6 +24,8 @@ CHUNK = 4_096
 #: Queries that are compared with a chunk at once.
 TOGETHER = 256
 ROUNDS = 12
+#: Candidates that a task holds before it reduces them to the best of each query.
+HELD = 2_000_000
 
 
 def centroids(sample: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
@@ -79,19 +81,58 @@ def _probes(shared, probe: int):
     return run
 
 
+def _merged(schema: pa.Schema):
+    """Neighbouring chunks of one cell as chunks of up to CHUNK vectors."""
+
+    def run(batches):
+        cell, held, n = None, [], 0
+
+        def whole():
+            ids = pa.chunked_array([r[0] for r in held]).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([b"".join(r[1] for r in held)], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own, ids, codes = batch.column("cell")[row].as_py(), batch.column("ids")[row].values, batch.column("codes")[row].as_py()
+                if held and (own != cell or n + len(ids) > CHUNK):
+                    yield whole()
+                    held, n = [], 0
+                cell, n = own, n + len(ids)
+                held.append((ids, codes))
+        if held:
+            yield whole()
+
+    return run
+
+
 def _ranked(shared, pool: int, schema: pa.Schema):
-    """The best of each chunk for each of the queries that visit it, by codes."""
+    """The best of each task's chunks for each of the queries that visit them, by codes; of more than HELD rows the best so far are passed on early."""
 
     def run(batches):
         book, step = shared.value
+        held: list[tuple] = []
+
+        def best():
+            q, ids, score = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids.tolist(), schema.field("id").type), pa.array(score, pa.float64())], schema=schema)
+
         for batch in batches:
             for row in range(batch.num_rows):
-                r = batch.slice(row, 1).to_pylist()[0]
-                asked = unit_rows([a["embedding"] for a in r["asked"]])
-                x = np.frombuffer(r["codes"], np.int8).reshape(len(r["ids"]), -1) * step + book[r["cell"]]
-                sims = x @ asked.T
+                r = batch.slice(row, 1)
+                asked, ids = r.column("asked")[0].values, r.column("ids")[0].values
+                q = asked.field("q").to_numpy(zero_copy_only=False)
+                x = np.frombuffer(r.column("codes")[0].as_py(), np.int8).reshape(len(ids), -1) * step + book[r.column("cell")[0].as_py()]
+                sims = x @ unit_rows(list(asked.field("embedding").to_numpy(zero_copy_only=False))).T
                 at, col = best_rows(sims, pool)
-                yield pa.RecordBatch.from_arrays([pa.array([r["asked"][c]["q"] for c in col], pa.int64()), pa.array([r["ids"][i] for i in at], schema.field("id").type), pa.array(sims[at, col], pa.float64())], schema=schema)
+                held.append((q[col], ids.to_numpy(zero_copy_only=False)[at], sims[at, col]))
+                if sum(len(h[0]) for h in held) > HELD:
+                    held = [kept(held, pool)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield best()
+                        held = []
+        if held:
+            held = [kept(held, pool)]
+            yield best()
 
     return run
 
@@ -120,8 +161,12 @@ class VectorIndex:
     def add(self, items: DataFrame) -> None:
         """Append all of items(id, embedding), ids new to the index; null vectors are left out."""
         schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("ids", T.ArrayType(items.schema["id"].dataType)), T.StructField("codes", T.BinaryType())])
-        filed = items.filter("embedding is not null").select("id", "embedding").mapInArrow(_filed(self._model(), to_arrow_schema(schema)), schema)
-        filed.write.mode("append").parquet(f"{self.path}/cells")
+        arrow = to_arrow_schema(schema)
+        filed = items.filter("embedding is not null").select("id", "embedding").mapInArrow(_filed(self._model(), arrow), schema)
+        # small chunks of a cell come together; those of a cell that fills much of a batch are spread
+        near = F.when(F.size("ids") < CHUNK // 4, 0).otherwise(F.xxhash64(F.get("ids", 0)))
+        filed = filed.withColumn("near", near).repartition("cell", "near").sortWithinPartitions("cell", "near").drop("near")
+        filed.mapInArrow(_merged(arrow), schema).write.mode("append").parquet(f"{self.path}/cells")
 
     def search(self, queries: DataFrame, items: DataFrame, pool: int = 20, probe: float = 0.6, deep: int = 4) -> DataFrame:
         """(q, id, score) of the about `pool` nearest items(id, embedding) of each of queries(q, embedding), scores as in retrieval.semantic.

@@ -43,3 +43,19 @@ def test_clusters_need_few_cells_and_all_cells_are_exact(spark, monkeypatch):
     few, every = pairs(index.search(queries, e, 10, 0.15, 10)), pairs(index.search(queries, e, 10, 1.0, 40))
     assert len(few & want) / len(want) >= 0.9
     assert every == want
+
+
+def test_candidates_are_reduced_within_tasks(spark, monkeypatch):
+    monkeypatch.setattr(v, "CHUNK", 200)
+    rng = np.random.default_rng(5)
+    e = spark.createDataFrame([(i, rng.normal(0, 1, 8).tolist()) for i in range(2000)], "id long, embedding array<double>").repartition(40)
+    index = v.VectorIndex(spark, scratch(spark, "vectors"))
+    index.fit(e, cells=4)
+    index.add(e)
+    cells = spark.read.parquet(f"{index.path}/cells").select("cell", F.size("ids").alias("n")).collect()
+    assert sum(c.n for c in cells) == 2000 and len(cells) <= 4 + 2000 // 50  # 160 chunks where each batch files its own
+    asked = e.filter("id % 100 = 0").withColumnRenamed("id", "q")
+    want = pairs(r.semantic(asked, e, 5))
+    assert pairs(index.search(asked, e, 5, 1.0, 8)) == want
+    monkeypatch.setattr(v, "HELD", 10)  # what is passed on early is still whole
+    assert pairs(index.search(asked, e, 5, 1.0, 8)) == want
