@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quillmesh.operators import bibliography, papers
+from quillmesh.operators import bibliography, graph, papers
 
 SECONDS = 60
 
@@ -43,3 +43,12 @@ def test_a_citation_of_several_rows_counts_each_reference_once(spark):
     references = spark.createDataFrame([(7, 1, "lee", "2001a"), (7, 1, "kim", "2001a"), (8, 1, "lee", "2001b"), (9, 1, "lee", None)], "ref int, paper int, surname string, year string")
     got = {tuple(r) for r in bibliography.cited_references(citations, references).collect()}
     assert got == {(1, 1, 1, 7), (2, 2, 2, 7), (None, 1, 1, 7), (4, 1, 1, 8)}
+
+
+def test_experiments_meet_their_datasets_once(spark):
+    edges = [("e1", "EVALUATES", "m", None), ("e1", "USES", "d", "evaluation_data"), ("e1", "USES", "p", "evaluation_data"), ("e1", "USES", "d", None), ("e1", "USES", "d", "training_data"), ("e2", "EVALUATES", "m", None), ("e2", "USES", "p", None), ("e2", "EVALUATES", "m", None)]
+    e = spark.createDataFrame(edges, "src string, type string, dst string, role string")
+    data = spark.createDataFrame([("r", "d", 0), ("r", "p", 1), ("p", "p", 0)], "root string, id string, depth int")
+    found = graph.experiments(spark.createDataFrame([("m",), ("m",)], "id string"), e, data)
+    assert sorted((x.root, x.bucket, x.experiment, x.dataset) for x in found.collect()) == [("p", "matched", "e1", "p"), ("p", "role_missing", "e2", "p"), ("r", "expandable", "e1", "p"), ("r", "matched", "e1", "d"), ("r", "role_missing", "e1", "d"), ("r", "role_missing", "e2", "p")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3  # subjects, datasets, and both sides; nine where each bucket made its own
