@@ -52,3 +52,18 @@ def test_experiments_meet_their_datasets_once(spark):
     found = graph.experiments(spark.createDataFrame([("m",), ("m",)], "id string"), e, data)
     assert sorted((x.root, x.bucket, x.experiment, x.dataset) for x in found.collect()) == [("p", "matched", "e1", "p"), ("p", "role_missing", "e2", "p"), ("r", "expandable", "e1", "p"), ("r", "matched", "e1", "d"), ("r", "role_missing", "e1", "d"), ("r", "role_missing", "e2", "p")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3  # subjects, datasets, and both sides; nine where each bucket made its own
+
+
+def test_members_are_worked_out_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        rows.add(1)
+        return x
+
+    n = 200
+    members = spark.range(n).select(F.lit("m").alias("method"), F.lit("1996").alias("version"), seen(F.format_string("p%04d", "id")).alias("paper"), F.lit(1).alias("target"), (F.col("id") % 2).cast("int").alias("baseline"))
+    want = sum(1 for i in range(n) for j in range(i + 1, n) if j % 2)
+    assert graph.shared_counts(members).select("n_pairs").first()[0] == want and rows.value == n
+    assert graph.shared_pairs(members).count() == want and rows.value == 2 * n
