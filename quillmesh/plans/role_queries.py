@@ -35,7 +35,7 @@ def ac6_roles(spark, sf_dir):
     edges = parts[0]
     for part in parts[1:]:
         edges = edges.unionByName(part)
-    edges = settled(edges.filter("dst is not null"))
+    edges = edges.filter("dst is not null")
     nodes = settled(edges.selectExpr("explode(array(src, dst)) AS id").distinct().selectExpr("id", f"{_FAMILY} AS family", f"{_KIND} AS kind"))
     found = ro.roles_around(nodes.select("id"), nodes, edges, depth=2)
     return found.groupBy("ref", "role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("via").alias("n_via"), F.min("other").alias("first_other"), F.max("other").alias("last_other"))

@@ -41,3 +41,13 @@ def test_depth_and_edges_of_input(spark):
     assert found(spark, ["nobody"]) == set() and found(spark, [], roles=("usage",)) == set() and found(spark, ["m"], roles=()) == set()
     with pytest.raises(ValueError, match="moods"):
         found(spark, ["m"], roles=("moods",))
+
+
+def test_roles_share_joins_and_equal_with_few_and_many_sources(spark, monkeypatch):
+    refs = [n[0] for n in NODES]
+    few = found(spark, refs, depth=2)
+    monkeypatch.setattr(roles, "FEW", -1)
+    assert found(spark, refs, depth=2) == few and len(few) > 30
+    nodes, edges = spark.createDataFrame(NODES, "id string, family string, kind string"), spark.createDataFrame(EDGES, "src string, type string, dst string")
+    plan = roles.roles_around(nodes.select("id"), nodes, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") < 40  # 52 where each role made its own
