@@ -4,68 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: The entries of one paper and batch that are held before they are reduced.
-HELD = 100_000
+
+_Change = Row("paper", "stage", "status", "us", "seq", "stale")
 
 
 class _Stages(StatefulProcessor):
-    """Of each paper the newest entry of each stage, and the newest of all; a timer runs out when that is older than `keep_ms`."""
+    """Of each paper the place of the newest entry of each stage, and the newest time of all; a paper whose newest time is older than `keep_ms` goes stale.
+
+    Each call of the state is a round trip to the JVM, so a paper's state is one value, read and written once a batch, and its
+    timer is set once: one that runs out while the paper has newer entries is set again.
+    """
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getMapState("newest", "stage string", "us bigint, seq bigint")
-        self.last = handle.getValueState("last", "us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for frame in rows:
-            best = frame if best is None else pd.concat([best, frame], ignore_index=True)
-            if len(best) > HELD:
-                best = _newest(best)
-        best = _newest(best)
-        changed = []
-        for row in best.itertuples(index=False):
-            stage, place = (row.stage,), (int(row.us), int(row.seq))
-            if not self.newest.containsKey(stage) or tuple(self.newest.getValue(stage)) < place:
-                self.newest.updateValue(stage, place)
-                changed.append(row)
-        last = int(best["us"].max())
-        if not self.last.exists() or self.last.get()[0] < last:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.last.update((last,))
+        self.paper = handle.getValueState("paper", "last bigint, stages array<string>, us array<bigint>, seqs array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best: dict[str, tuple] = {}
+        for row in rows:
+            if row.stage not in best or best[row.stage][:2] <= (row.us, row.seq):
+                best[row.stage] = (row.us, row.seq, row.status)
+        held = self.paper.get()
+        newest = dict(zip(held[1], zip(held[2], held[3]))) if held else {}
+        changed = {stage: b for stage, b in best.items() if stage not in newest or newest[stage] < b[:2]}
+        before, last = held[0] if held else None, max(b[0] for b in best.values())
+        if held is None:
             self.handle.registerTimer(last // 1000 + self.keep_ms)
-        if changed:
-            yield _frame([(key[0], r.stage, r.status, int(r.us), int(r.seq), False) for r in changed])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0]
-        self.newest.clear()
-        self.last.clear()
-        yield _frame([(key[0], None, None, last, None, True)])
+        if changed or last > before:
+            newest.update({stage: b[:2] for stage, b in changed.items()})
+            self.paper.update((last if before is None else max(last, before), list(newest), [p[0] for p in newest.values()], [p[1] for p in newest.values()]))
+        for stage, (us, seq, status) in changed.items():
+            yield _Change(key[0], stage, status, us, seq, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last = self.paper.get()[0]
+        due = last // 1000 + self.keep_ms
+        if due > expiredTimerInfo.getExpiryTimeInMs() and due >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.paper.clear()
+            yield _Change(key[0], None, None, last, None, True)
 
     def close(self) -> None:
         pass
 
 
-def _newest(entries: pd.DataFrame) -> pd.DataFrame:
-    return entries.sort_values(["us", "seq"], kind="stable").drop_duplicates("stage", keep="last")
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=["paper", "stage", "status", "us", "seq", "stale"])
-    made["seq"] = made["seq"].astype("Int64")
-    return made
-
-
 def stage_changes(log: DataFrame, keep: str = "7 days", late: str = "1 day") -> DataFrame:
     """SK6: what changes in a stream log(paper, stage, status, at, seq): entries that are the newest of their paper and stage, and papers that go stale.
 
@@ -79,7 +69,7 @@ def stage_changes(log: DataFrame, keep: str = "7 days", late: str = "1 day") ->
     rows = log.filter("paper is not null and stage is not null and at is not null").select("paper", "stage", "status", F.col("at").cast("timestamp").alias("at"), F.coalesce(F.col("seq").cast("bigint"), F.lit(0)).alias("seq"))
     timed = rows.withWatermark("at", late).withColumn("us", F.unix_micros("at"))
     schema = f"paper {key}, stage string, status string, us bigint, seq bigint, stale boolean"
-    changes = timed.groupBy("paper").transformWithStateInPandas(_Stages(keep_ms), schema, "Update", "EventTime")
+    changes = timed.groupBy("paper").transformWithState(_Stages(keep_ms), schema, "Update", "EventTime")
     return changes.select("paper", "stage", "status", F.timestamp_micros("us").alias("at"), "seq", "stale")
 
 

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillmesh.streaming import stages, states
@@ -83,3 +84,46 @@ def test_entries_behind_the_watermark_are_dropped(spark, tmp_path, rocks):
     got = sorted((r.paper, r.stage, r.status, r.stale) for r in stages.stage_states(spark.read.parquet(out)).collect())
     assert got == [(1, "a", "done", False), (1, "b", "done", False), (2, "a", "done", False)]
     assert spark.read.parquet(out).filter("stale").count() == 1
+
+
+class Calls:
+    """A state and its handle in one that counts what goes to the JVM."""
+
+    def __init__(self):
+        self.n, self.value, self.timers = 0, None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n, self.value = self.n + 1, value
+
+    def clear(self):
+        self.n, self.value = self.n + 1, None
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.append(at)
+
+    def getExpiryTimeInMs(self):
+        return self.timers[-1]
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_batch_reads_and_writes_the_state_of_a_paper_once():
+    entry, calls, stream = Row("stage", "status", "us", "seq"), Calls(), stages._Stages(10)
+    stream.init(calls)
+    put = lambda us: [r.stage for r in stream.handleInputRows((1,), iter([entry(f"s{i}", "done", us, i) for i in range(50)]), calls)]
+    assert len(put(1000)) == 50 and calls.n == 3 and calls.timers == [11]
+    assert len(put(5000)) == 50 and calls.n == 5 and calls.timers == [11]
+    assert put(2000) == [] and calls.n == 6  # older entries change nothing
+    calls.watermark = 13  # the timer runs out, but the paper is due at 15
+    assert list(stream.handleExpiredTimer((1,), calls, calls)) == [] and calls.timers == [11, 15] and calls.value is not None
+    calls.watermark = 16
+    assert [tuple(r) for r in stream.handleExpiredTimer((1,), calls, calls)] == [(1, None, None, 5000, None, True)] and calls.value is None
