@@ -43,28 +43,31 @@ def kind_of(kind: Column) -> Column:
 
 
 def absorbed(blocks: DataFrame, least: float = ABSORBED) -> DataFrame:
-    """(doc, page, idx, container, bbox_in_parent) of images and charts that lie to `least` (over a half) of their area in an image_block of their page.
+    """blocks with (container, bbox_in_parent) for images and charts that lie to `least` (over a half) of their area in an image_block of their page, null for all others.
 
     The largest share wins, then the smaller container, then the first. A member that lies so far inside has its centre in
     the container, so the two meet in a cell of a grid: a container takes the at most four cells it touches of the grid
-    whose cells are about its own size, a member the cell of its centre in each grid in use on its page.
+    whose cells are about its own size, a member the cell of its centre in each grid in use on its page. They meet in windows
+    within the page, so blocks that are together by page are not shuffled again.
     """
-    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    placed = F.col("doc").isNotNull() & F.col("page").isNotNull()
+    outer, inner = placed & (F.col("type") == CONTAINER), placed & F.col("type").isin("image", "chart")
+    x0, y0, x1, y1 = _corners()
+    side = F.greatest(x1 - x0, y1 - y0)
     grid = F.when(side > 0, F.ceil(F.log2(side))).otherwise(0).cast("int")
-    cell = F.pow(F.lit(2.0), F.col("grid"))
-    at = lambda v: F.floor(v / cell).cast("long")
-    outer = blocks.filter(F.col("type") == CONTAINER).select(*PAGE, F.col("idx").alias("container"), F.struct(*BOX).alias("outer"), *BOX).withColumn("grid", grid)
-    spread = outer.select(*PAGE, "container", "outer", "grid", "y0", "y1", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1")))).alias("cx"))
-    spread = spread.select(*PAGE, "container", "outer", "grid", "cx", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))).alias("cy"))
-    grids = outer.groupBy(*PAGE).agg(F.collect_set("grid").alias("grids"))
-    inner = blocks.filter(F.col("type").isin("image", "chart")).select(*PAGE, "idx", *BOX).join(grids, PAGE)
-    inner = inner.select(*PAGE, "idx", F.struct(*BOX).alias("inner"), *BOX, F.explode("grids").alias("grid"))
-    inner = inner.select(*PAGE, "idx", "inner", "grid", at((F.col("x0") + F.col("x1")) / 2).alias("cx"), at((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    met = inner.join(spread, [*PAGE, "grid", "cx", "cy"])
-    met = met.withColumn("share", t.box_overlap(_corners("inner"), _corners("outer"))).filter(F.col("share") >= least)
-    best = F.min(F.struct((-F.col("share")).alias("less"), t.box_area(*_corners("outer")).alias("area"), "container", "inner", "outer")).alias("b")
-    found = met.groupBy(*PAGE, "idx").agg(best).select(*PAGE, "idx", "b.*")
-    return found.select(*PAGE, "idx", "container", t.relative_box(_corners("inner"), _corners("outer")).alias("bbox_in_parent"))
+    at = lambda v, g: F.floor(v / F.pow(F.lit(2.0), g)).cast("long")
+    cell = lambda g, cx, cy: F.struct(g.alias("grid"), cx.alias("cx"), cy.alias("cy"))
+    touched = F.flatten(F.transform(F.sequence(at(x0, grid), at(x1, grid)), lambda cx: F.transform(F.sequence(at(y0, grid), at(y1, grid)), lambda cy: cell(grid, cx, cy))))
+    centre = F.transform("grids", lambda g: cell(g, at((x0 + x1) / 2, g), at((y0 + y1) / 2, g)))
+    rows = blocks.withColumn("grids", F.collect_set(F.when(outer, grid)).over(Window.partitionBy(*PAGE)))
+    rows = rows.select(*blocks.columns, F.posexplode_outer(F.when(outer, touched).when(inner, centre)).alias("nth", "cell"))
+    rows = rows.withColumn("met", F.collect_list(F.when(outer, F.struct(F.col("idx").alias("container"), F.struct(*BOX).alias("outer")))).over(Window.partitionBy(*PAGE, "cell")))
+    box = lambda c: tuple(c["outer"][b] for b in BOX)
+    shares = F.transform("met", lambda c: F.struct((-t.box_overlap(_corners(), box(c))).alias("less"), t.box_area(*box(c)).alias("area"), c["container"].alias("container"), c["outer"].alias("outer")))
+    rows = rows.withColumn("best", F.when(inner, F.array_min(F.filter(shares, lambda c: -c["less"] >= least)))).drop("met", "cell")
+    rows = rows.withColumn("best", F.min("best").over(Window.partitionBy(*PAGE, "idx"))).filter("coalesce(nth, 0) = 0")
+    bbox = F.when(F.col("best").isNotNull(), t.relative_box(_corners(), _corners("best.outer")))
+    return rows.withColumns({"container": F.col("best.container"), "bbox_in_parent": bbox}).drop("best", "nth")
 
 
 def owners(blocks: DataFrame, by: list[str], between: Callable[[tuple, tuple], Column] = t.box_centre_distance) -> DataFrame:
@@ -115,14 +118,13 @@ def assembled_items(blocks: DataFrame) -> DataFrame:
     blocks are left out. Captions and footnotes without an owner stay as flow, marked orphan_child. Containers count as
     images; code and algorithms as code with the type as sub_type. Null content is empty; pages without blocks have no rows.
     """
-    inside = absorbed(blocks).select(*PAGE, "idx", "container", "bbox_in_parent")
-    rows = blocks.join(inside, [*PAGE, "idx"], "left").withColumn("kind", F.when(F.col("container").isNull(), kind_of(F.col("type"))))
+    rows = absorbed(blocks).withColumn("kind", F.when(F.col("container").isNull(), kind_of(F.col("type"))))
     rows = owners(rows, PAGE)
     role = F.when(F.col("container").isNotNull(), "sub_image").when(F.col("parent").isNotNull(), F.col("kind")).otherwise("main")
     rows = rows.withColumns({"role": role, "block": F.coalesce("container", "parent", "idx")})
     coded, contained = F.col("type").isin(*CODE), F.col("type") == CONTAINER
     content = F.when(F.col("kind") == "discarded", tidy(F.col("content"))).otherwise(F.coalesce("content", F.lit("")))
-    main = F.struct(
+    main = (
         F.when(F.col("kind").isin("caption", "footnote"), "flow").otherwise(F.col("kind")).alias("kind"),
         F.when(contained, "image").when(coded, "code").otherwise(F.col("type")).alias("type"),
         F.when(coded, F.col("type")).otherwise(F.col("sub_type")).alias("sub_type"),
@@ -133,11 +135,12 @@ def assembled_items(blocks: DataFrame) -> DataFrame:
         F.coalesce("merge_prev", F.lit(False)).alias("merge_prev"),
         F.col("kind").isin("caption", "footnote").alias("orphan_child"),
     )
-    part = lambda r, value: F.array_sort(F.collect_list(F.when(F.col("role") == r, value)))
+    of_block = Window.partitionBy(*PAGE, "block")
+    part = lambda r, value: F.sort_array(F.collect_list(F.when(F.col("role") == r, value)).over(of_block))
     child = F.struct(F.col("idx").alias("block"), tidy(F.col("content")).alias("text"))
     sub = F.struct(F.col("idx").alias("block"), "type", "bbox_in_parent")
-    items = rows.groupBy(*PAGE, "block").agg(F.first(F.when(F.col("role") == "main", main), ignorenulls=True).alias("m"), part("sub_image", sub).alias("sub_images"), part("caption", child).alias("captions"), part("footnote", child).alias("footnotes"))
-    return items.select(*PAGE, "block", "m.*", "sub_images", "captions", "footnotes").filter("kind <> 'structural'")
+    items = rows.withColumns({"sub_images": part("sub_image", sub), "captions": part("caption", child), "footnotes": part("footnote", child)}).filter("role = 'main'")
+    return items.select(*PAGE, "block", *main, "sub_images", "captions", "footnotes").filter("kind <> 'structural'")
 
 
 def assemble(blocks: DataFrame) -> DataFrame:
@@ -145,7 +148,7 @@ def assemble(blocks: DataFrame) -> DataFrame:
     items = assembled_items(blocks)
     item = F.struct(*[c for c in items.columns if c not in PAGE])
     dropped = F.struct("block", "type", "bbox", "content")
-    inside = lambda keep, value: F.array_sort(F.collect_list(F.when(keep, value)))
+    inside = lambda keep, value: F.sort_array(F.collect_list(F.when(keep, value)))
     gone = F.col("kind") == "discarded"
     return items.groupBy(*PAGE).agg(inside(~gone, item).alias("items"), inside(gone, dropped).alias("discarded"))
 

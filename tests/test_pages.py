@@ -140,3 +140,8 @@ def test_no_page_is_compared_with_itself(spark):
     rows = [row(1, i, ("image_block", "image", "caption")[i % 3], ((i // 3) % 100, i // 300, (i // 3) % 100 + 0.9, i // 300 + 0.9)) for i in range(30_000)]
     items = p.assembled_items(spark.createDataFrame(rows, SCHEMA))
     assert items.filter("size(sub_images) = 1 and size(captions) >= 1").count() == 10_000
+
+
+def test_blocks_are_shuffled_once_by_page(spark):
+    plan = p.assemble(spark.createDataFrame(figure_page(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
