@@ -5,7 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import duckdb
+from oracle import connection, differences
+
 from quillmesh.operators import graph as g
+from quillmesh.plans.graph_queries import QUERIES
 
 
 def test_groups_equal_pairs(spark, monkeypatch):
@@ -31,6 +35,33 @@ def test_groups_equal_pairs(spark, monkeypatch):
     assert any(k[0] == "hub" and len(w) > most for k, w in want.items())
 
 
+def test_pairs_of_large_groups_are_counted_and_written(spark, monkeypatch):
+    """A group of 62,500 pairs, beyond the 20,000 at which groups were once left out."""
+    monkeypatch.setattr(g, "RANGE_ROWS", 50)
+    monkeypatch.setattr(g, "BLOCK_PAPERS", 60)
+    edges = [(f"e{i}", "FROM", f"p{i:03}", None, None) for i in range(500)]
+    edges += [(f"e{i}", "EVALUATES", "m", "target" if i < 250 else "baseline", None) for i in range(500)]
+    edges += [("e9", "EVALUATES", "n", "target", "1"), ("e8", "EVALUATES", "n", "baseline", "1"), ("e10", "EVALUATES", "n", "baseline", "1")]
+    members = g.shared_members(spark.createDataFrame(edges, "src string, type string, dst string, role string, version string"))
+    got = {tuple(r) for r in g.shared_by_paper(members).collect()}
+    assert got == {("m", None, f"p{i:03}", 250, "p499") for i in range(250)} | {("n", "1", "p009", 1, "p010")}
+    pairs = g.shared_pairs(members)
+    assert pairs.count() == 62_501 == pairs.distinct().count()
+
+
+def test_shared_pairs_query_has_groups_of_many_pairs(spark, tmp_path):
+    """The seven groups of one method at sf0.1, each of over 20,000 pairs: the query once left all of them out."""
+    for t in ("part", "supplier", "nation", "customer", "orders"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.1/{t}.parquet")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT l.* FROM '/root/testdata/sf0.1/lineitem.parquet' l JOIN '/root/testdata/sf0.1/part.parquet' ON l_partkey = p_partkey WHERE p_name = 'large ring') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con = connection(str(tmp_path))
+    counts, pairs = (QUERIES[f"jn8_shared_{x}"] for x in ("counts", "pairs"))
+    sizes = con.execute(f"SELECT n_pairs FROM ({counts[1]})").fetchall()
+    assert len(sizes) >= 6 and min(sizes)[0] > 20_000
+    assert differences(pairs[0](spark, str(tmp_path)), con, pairs[1]) == []
+
+
 def test_pairs_of_one_method_are_spread_and_written_once(spark, monkeypatch):
     monkeypatch.setattr(g, "BLOCK_PAPERS", 5)
     rng = random.Random(5)
