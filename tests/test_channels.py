@@ -59,6 +59,19 @@ def test_holders_are_gathered_once(spark):
     assert [(len(x["h"]), len(x["a"]), x["key_status"]) for x in found.collect()] == [(50, 50, "ambiguous")] * 30
 
 
+def test_lists_of_holders_do_not_travel_with_the_queries(spark):
+    """30 queries for an identifier of 50 nodes and a key of 40: what is shuffled and decided holds counts, and each list is there once."""
+    nodes = spark.range(50).select(F.format_string("n%03d", "id").alias("id"), F.lit("K").alias("kind"), F.array(F.lit("url:x")).alias("identifiers"), F.lit("x").alias("description"))
+    keys = nodes.filter("id >= 'n010'").select(F.lit("m|K|global").alias("key"), F.lit("m").alias("raw"), F.lit("ambiguous").alias("status"), F.col("id").alias("object_id"))
+    queries = spark.range(30).select(F.col("id").alias("q"), F.when(F.col("id") < 20, "url:x").alias("identifier"), F.lit("m").alias("mention"), F.lit("K").alias("kind"), F.lit("read").alias("mode"))
+    rows, lists = r._counts(queries, nodes, keys, "global")
+    assert not [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    assert {(x["n_h"], x["n_a"], x["n_both"], x["first_both"]) for x in rows.collect()} == {(50, 40, 40, "n010"), (0, 40, 0, None)}
+    assert sorted(len(x["refs"]) for x in lists.collect()) == [40, 50]
+    got = {(x["stage"], x["status"], len(x["refs"]), x["refs"][0]) for x in r.resolve(queries, nodes, keys).collect()}
+    assert got == {("id", "ambiguous", 50, "n000"), ("alias", "ambiguous", 40, "n010")}
+
+
 def test_a_word_does_not_carry_its_text(spark):
     """The array of words is counted below the explode: carried along, a long text would be copied for each of its words."""
     import re
