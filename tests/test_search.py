@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators import retrieval as r
 from quillmesh.operators import search as se
-from quillmesh.operators.text_index import STOP_WORDS, TextIndex, stemmed
+from quillmesh.operators.text_index import STOP_WORDS, TextIndex, lengths_of, stemmed, terms_of, words_of
 from quillmesh.session import scratch
 
 
@@ -63,6 +64,19 @@ def test_top_k_is_exact_and_opens_few_blocks(spark, segments, first):
     assert all(a <= b for a, b in opened.values()) and sum(a for a, _ in opened.values()) < sum(b for _, b in opened.values())
 
 
+def test_terms_are_counted_within_their_row(spark):
+    """No word is shuffled to be counted, and a text of 200,000 words takes no longer for its length than many short ones."""
+    texts = [(i, t) for i, t in enumerate(some_texts(random.Random(3), 50))] + [(50, None), (51, ""), (52, "the and of"), (53, " ".join(f"models word{i % 977}" for i in range(100_000)))]
+    d = spark.createDataFrame(texts, "id long, text string")
+    found = terms_of(d, "id")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    start = time.perf_counter()
+    got = Counter(tuple(x) for x in found.collect())
+    assert time.perf_counter() - start < 60
+    assert got == Counter(tuple(x) for x in words_of(d, "id").groupBy("id", "len", "term").count().collect())
+    assert {tuple(x) for x in lengths_of(d, "id").collect()} == {(x.id, x.len) for x in words_of(d, "id").select("id", "len").distinct().collect()}
+
+
 def test_allowed_documents_and_unfinished_segments(spark):
     rng = random.Random(7)
     texts = dict(enumerate(some_texts(rng, 300)))
